@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from paperloom.llm import line_dedup, mixing
+from paperloom.llm import divergence, line_dedup, mixing, packing, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
+    "op2_divergence": divergence.op2_divergence,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_pack_sequences": packing.op9_pack_sequences,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
