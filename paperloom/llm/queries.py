@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from paperloom.llm import divergence, line_dedup, mixing, packing, token_files
+from paperloom.llm import divergence, line_dedup, mixing, packing, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_divergence": divergence.op2_divergence,
+    "op7_warc": warc.op7_warc,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_pack_sequences": packing.op9_pack_sequences,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op7_warc": warc.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
