@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from paperloom.llm import divergence, line_dedup, mixing, packing, token_files, warc
+from paperloom.llm import divergence, language, line_dedup, mixing, packing, token_files, topk, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_divergence": divergence.op2_divergence,
+    "op5_top_k": topk.op5_top_k,
+    "op6_language": language.op6_language,
     "op7_warc": warc.op7_warc,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_pack_sequences": packing.op9_pack_sequences,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_top_k": topk.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
