@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,12 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go: the driver drops them when it collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def joined_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int = 20_000) -> DataFrame:
     """Join a written table ``right``: broadcast it while it has at most ``rows`` rows, else sort-merge.
 
