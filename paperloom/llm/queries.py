@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from paperloom.llm import divergence, language, line_dedup, mixing, near_dedup, packing, token_files, topk, warc
+from paperloom.llm import divergence, language, line_dedup, mixing, near_dedup, packing, substring_dedup, token_files, topk, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_divergence": divergence.op2_divergence,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_top_k": topk.op5_top_k,
     "op6_language": language.op6_language,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op5_top_k": topk.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
