@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.operators.storage import joined_small, released, shared_dir, written
+
+__all__ = ["BLANKS", "BLANK_RUN", "WORD", "joined_small", "partitions", "released", "shared_dir", "table", "word_count", "words", "written"]
+
 #: Characters that separate words in every contract: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same set for Java and Python regular expressions.
@@ -16,44 +16,6 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a session without that setting (tests, local runs) gets a folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back.
-
-    Cuts the lineage so that a lost executor costs no recomputation of what came before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def released(spark: SparkSession) -> None:
-    """Let the shuffle files of finished steps go: the driver drops them when it collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def joined_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int = 20_000) -> DataFrame:
-    """Join a written table ``right``: broadcast it while it has at most ``rows`` rows, else sort-merge.
-
-    ``right`` must be cheap to count (a written table) and have narrow rows.
-    """
-    few = right.limit(rows + 1).count() <= rows
-    return left.join(F.broadcast(right) if few else right.hint("merge"), on, how)
-
-
 def words(text: Column) -> Column:
     """Array of the maximal runs of non-blank characters; empty for null or blank text."""
     bare = F.trim(text, F.lit(BLANKS))
