@@ -67,11 +67,11 @@ NO_BREAK, BROKEN_BAR, ZERO_WIDTH, THIN = "\u00a0", "\u00a6", "\u200b", "\u2009"
 
 
 def search_variants(text: Column) -> Column:
-    """Spellings of a literal with other separators, longest first."""
+    """Spellings of a literal with other separators, longest first; of equal length its own one first."""
     s = F.replace(F.replace(text, F.lit(ZERO_WIDTH), F.lit("")), F.lit(THIN), F.lit(""))
     swap = lambda a, b: F.replace(s, F.lit(a), F.lit(b))
     spellings = [s, *(swap("-", h) for h in HYPHENS), swap(" ", ""), swap(NO_BREAK, " "), swap(NO_BREAK, ""), swap("|", BROKEN_BAR), swap("|", " "), swap("|", "")]
-    keyed = F.transform(F.array_distinct(F.array(*spellings)), lambda x: F.struct((-F.char_length(x)).alias("k"), x.alias("x")))
+    keyed = F.transform(F.array_distinct(F.array(*spellings)), lambda x, i: F.struct((-F.char_length(x)).alias("k"), i.alias("i"), x.alias("x")))
     return F.transform(F.array_sort(keyed), lambda k: k["x"])
 
 

@@ -300,7 +300,7 @@ PREPASS_SQL = f"""with {DETECT_SQL}, tokens as (
   select batch_id, prefix from (select batch_id, prefix, count(*) as n, min(place) as place from parsed group by all) qualify row_number() over (partition by batch_id order by n desc, place) = 1
 )
 select d.batch_id, count(*) filter (where first_label <> '') as n_labeled, any_value(main.prefix) as prefix,
-  max(regexp_extract(last_label, '([0-9]{{4,10}})\\s*$', 1)::bigint) filter (where first_label <> '') + 1 as start
+  max(try_cast(regexp_extract(last_label, '([0-9]{{4,10}})\\s*$', 1) as bigint)) filter (where first_label <> '') + 1 as start
 from detected d left join main using (batch_id) group by d.batch_id"""
 
 
