@@ -42,20 +42,18 @@ def left(text: Column, drop: str) -> Column:
     return F.char_length(F.regexp_replace(text, drop, ""))
 
 
-def repeated_words(ws: Column, n: str = "n_words") -> Column:
-    """Words within 3-word windows that are in the text twice or more, from the array of its words.
+def three_words(ws: Column) -> Column:
+    """Array of the 3-word windows of an array of words, each joined by blanks."""
+    later = lambda k: F.slice(ws, k, F.greatest(F.size(ws), F.lit(1)))
+    join = lambda a, b: F.concat(a, F.lit(" "), b)
+    return F.filter(F.zip_with(F.zip_with(ws, later(2), join), later(3), join), lambda x: x.isNotNull())
 
-    Windows and places are sorted, neighbours compared, and the covered places counted: no lambda here
-    looks into an array at a place, so the work is n log n.
-    """
-    count = F.col(n).cast("int")
-    two, three = F.slice(ws, 2, F.greatest(count, F.lit(1))), F.slice(ws, 3, F.greatest(count, F.lit(1)))
-    windows = F.filter(F.zip_with(F.zip_with(ws, two, lambda a, b: F.concat(a, F.lit(" "), b)), three, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
-    return windows
 
+def sorted_windows(windows: Column) -> Column:
+    """Sorted array of (window, place) for a text with a window twice or more, else null.
 
-def starts_of_repeats(windows: Column) -> Column:
-    """Places, from 0 and ascending, of the windows that are there twice or more."""
+    Neighbours of the sorted array are compared next: no lambda looks into an array at a place, so the work is n log n.
+    """
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
 
 
@@ -68,7 +66,7 @@ def features(docs: DataFrame) -> DataFrame:
     out = out.withColumn("word_chars", F.col("n_chars_all") - F.col("c_blank")).withColumn("n_symbols", F.col("c_symbol"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\x0c\r")) != "")
     out = out.withColumn("lines", lines).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
-    out = out.withColumn("windows", repeated_words(F.col("ws"))).withColumn("sorted", starts_of_repeats(F.col("windows"))).drop("windows")
+    out = out.withColumn("windows", three_words(F.col("ws"))).withColumn("sorted", sorted_windows(F.col("windows"))).drop("windows")
     n = F.size("sorted")
     same = F.zip_with(F.col("sorted"), F.slice("sorted", 2, F.greatest(n, F.lit(1))), lambda a, b: F.coalesce(a["w"] == b["w"], F.lit(False)))
     out = out.withColumn("same", same)
@@ -134,13 +132,13 @@ def references(counted: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON) -> DataFrame:
-    """``docs`` without ``text``, with the base counts, ``class_distance``, ``common_distance``, ``base_failed`` and ``kept``.
+    """``doc_id, lang`` of each row, with the base counts, ``class_distance``, ``common_distance``, ``base_failed`` and ``kept``.
 
     A row with a null or unlisted language is held against every language, and the nearest counts. A
     distance is null where the text is shorter than the guard or no reference exists; null does not reject.
     Null and empty texts fail the base rule. Repeated rows each get the same verdict.
     """
-    counted = features(docs)
+    counted = features(docs.select("doc_id", "text", "lang"))
     low = F.transform("ws", lambda w: F.lower(w))
     counted = counted.withColumn("low", F.when(F.size("ws") >= MIN_WORDS, low))
     own = reduce(lambda acc, k: F.when(F.col("lang") == k, word_histogram(F.col("low"), k)).otherwise(acc), COMMON, F.lit(None).cast("array<double>"))

@@ -110,9 +110,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """``docs`` with ``lang_pred`` (the language of the largest share), ``score`` (that share) and ``languages``.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Rows keep all their
-    columns; repeated rows get the same answer. Only ``text`` is an input.
+    columns but any of these names; repeated rows get the same answer. Only ``text`` is an input.
     """
     names, p = model
+    docs = docs.drop("lang_pred", "score", "languages")
     held = docs.sparkSession.sparkContext.broadcast((names, p))  # languages x 16384 numbers
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index("text")

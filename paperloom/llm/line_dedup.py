@@ -17,7 +17,7 @@ MIN_PAGES = 3
 
 
 def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line, pages, ratio) of every boilerplate line.
+    """(host, h1, h2, pages, ratio) of every boilerplate line; two hashes stand for the line.
 
     A line counts once a page. Lines are compared as they are but for blanks at their ends;
     blank lines never count. Rows with a null host or null text take no part. A host has at most
@@ -39,7 +39,7 @@ def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RA
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, plus ``n_lines`` and ``n_removed``.
+    """``docs`` with boilerplate lines taken out of ``text``, plus ``n_lines`` and ``n_removed`` (in place of any of that name).
 
     Every row stays, repeated rows included, and so does every other column; the text of a row
     without boilerplate stays as it is, byte for byte. Null text stays null with 0 lines; rows
@@ -47,19 +47,19 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = M
     """
     found = boilerplate(docs, host, max_ratio, min_pages)
     # One row a host with its few boilerplate lines, so that a text meets them in one step.
-    per_host = found.groupBy("host").agg(F.collect_set(F.struct("h1", "h2")).alias("boilerplate"))
-    per_host = written(per_host.withColumnRenamed("host", "boilerplate_host"), "boilerplate")
-    keyed = docs.withColumn("boilerplate_host", F.col(host))
-    met = joined_small(keyed, per_host, ["boilerplate_host"], "left", rows=1_000)
+    per_host = found.groupBy("host").agg(F.collect_set(F.struct("h1", "h2")).alias("_boilerplate"))
+    per_host = written(per_host.withColumnRenamed("host", "_host"), "boilerplate")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    met = joined_small(docs.select(*own, F.col(host).alias("_host")), per_host, ["_host"], "left", rows=1_000)
     lines = F.split("text", "\n")
     key = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"))
     trimmed = lambda x: F.trim(x, F.lit(" \t\r"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("boilerplate"), key(trimmed(x))))
-    met = met.withColumn("kept_lines", F.when(F.col("boilerplate").isNull(), lines).otherwise(kept))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    met = met.withColumn("n_lines", n_lines).withColumn("n_removed", n_lines - F.when(F.col("text").isNull(), 0).otherwise(F.size("kept_lines")).cast("long"))
-    met = met.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join("kept_lines", "\n")))
-    return met.select(*docs.columns, "n_lines", "n_removed")
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_boilerplate"), key(trimmed(x))))
+    met = met.withColumn("_kept", F.when(F.col("_boilerplate").isNull(), lines).otherwise(kept))
+    count = lambda x: F.when(F.col("text").isNull(), 0).otherwise(F.size(x)).cast("long")
+    met = met.withColumn("n_lines", count(lines)).withColumn("n_removed", F.col("n_lines") - count(F.col("_kept")))
+    met = met.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n")))
+    return met.select(*own, "n_lines", "n_removed")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

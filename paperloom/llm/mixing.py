@@ -129,9 +129,9 @@ def repeat_rows(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
     """
     plan = mix(docs, weights, block, seed).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     times = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
-    plan = plan.where("size > 0").select(F.col("doc_id").alias("mixed_id"), times.alias("times")).where("times > 0")
-    met = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return met.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    plan = plan.where("size > 0").select(F.col("doc_id").alias("_mixed"), times.alias("_times")).where("_times > 0")
+    met = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_mixed")))
+    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
