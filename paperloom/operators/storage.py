@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting that drops an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -25,20 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
-    Cuts the lineage so that a lost executor costs no recomputation of what came before.
+    Cuts the lineage so that a lost executor costs no recomputation of what came before. Shuffle files of the
+    write go as soon as it is done: nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Let the shuffle files of finished steps go: the driver drops them when it collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def joined_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int = 20_000) -> DataFrame:
     """Join a written table ``right``: broadcast it while it has at most ``rows`` rows, else sort-merge.
 
