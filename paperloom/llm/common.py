@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators.storage import joined_small, released, shared_dir, written
+from paperloom.operators.storage import joined_small, shared_dir, written
 
-__all__ = ["BLANKS", "BLANK_RUN", "WORD", "joined_small", "partitions", "released", "shared_dir", "table", "word_count", "words", "written"]
+__all__ = ["BLANKS", "BLANK_RUN", "WORD", "joined_small", "partitions", "shared_dir", "table", "word_count", "words", "written"]
 
 #: Characters that separate words in every contract: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"

@@ -167,4 +167,45 @@ def judge(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = MAX
 
 def op2_divergence(spark, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("common_distance", 6).alias("common_distance"))
+
+
+def op2_sql() -> str:
+    """The query in SQL: each language's list of common words, class patterns and limits are the same values."""
+    lists = ", ".join(f"('{k}', [{', '.join(repr(w) for w in v.split())}])" for k, v in COMMON.items())
+    drops = ", ".join(f"length(regexp_replace(t, '{p}', '', 'g'))" for p in CLASSES.values())
+    half = lambda x, y: f"list_sum(list_transform(range(1, len({x}) + 1), lambda i: case when {x}[i] > 0 then {x}[i] * log2({x}[i] / (({x}[i] + {y}[i]) / 2)) else 0 end)) / 2"
+    return f"""
+with lists as (select * from (values {lists}) v(lang, listed)),
+d as (
+  select doc_id, lang, coalesce(text, '') as t, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as ws from documents
+), lines as (
+  select *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls, [{drops}] as c from d
+), win as (
+  select doc_id, i, array_to_string(ws[i:i + 2], ' ') as w from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d)
+), twice as (
+  select doc_id, i from win qualify count(*) over (partition by doc_id, w) > 1
+), covered as (
+  select doc_id, count(*) as n from (select distinct doc_id, unnest([i, i + 1, i + 2]) as k from twice) group by doc_id
+), counted as (
+  select l.doc_id, l.lang, len(ws)::bigint as n_words, (length(t) - c[4])::bigint as word_chars, c[5]::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+    coalesce(covered.n, 0)::bigint as n_repeat_words, length(t) >= {MIN_CHARS} as judged,
+    list_transform(list_append(c, length(t) - list_sum(c)), lambda x: x / length(t)) as cs,
+    case when len(ws) >= {MIN_WORDS} and listed is not null then list_transform(list_append(list_transform(listed, lambda w: len(list_filter(ws, lambda x: lower(x) = w))),
+      len(list_filter(ws, lambda x: not list_contains(listed, lower(x))))), lambda x: x / len(ws)) end as hs
+  from lines l left join lists using (lang) left join covered using (doc_id)
+), places as (
+  select lang, k, quantile_disc(cs[k], 0.5) as a, quantile_disc(hs[k], 0.5) as b from counted, range(1, 60) r(k) where judged and lang is not null group by lang, k
+), refs as (
+  select lang, list(a / sa order by k) filter (where a is not null) as ra, list(b / sb order by k) filter (where b is not null) as rb
+  from (select *, sum(a) over (partition by lang) as sa, sum(b) over (partition by lang) as sb from places) group by lang
+), far as (
+  select c.*, case when judged then round(sqrt(greatest(0, {half("cs", "ra")} + {half("ra", "cs")})), 6) end as class_distance,
+    case when hs is not null then round(sqrt(greatest(0, {half("hs", "rb")} + {half("rb", "hs")})), 6) end as common_distance,
+    n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
+  from counted c left join refs using (lang)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(class_distance, 0) <= {MAX_CLASS} and coalesce(common_distance, 0) <= {MAX_COMMON} as kept, class_distance, common_distance
+from far
+"""

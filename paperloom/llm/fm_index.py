@@ -55,6 +55,7 @@ class Index:
             ones = ((left >> bit) & 1).astype(np.uint8)
             self.levels.append((bit, Bits(ones)))
             left = np.concatenate([left[ones == 0], left[ones == 1]])
+        self.foot = self._down(np.arange(top), np.zeros(top, np.int64))
         # Least owner of any range of suffixes: minima of all runs of 2**k.
         self.least = [owners[order]]
         while (1 << len(self.least)) <= n:
@@ -62,21 +63,22 @@ class Index:
             h = 1 << (len(self.least) - 1)
             self.least.append(np.minimum(a[:-h], a[h:]))
 
+    def _down(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where place ``at`` of the transform falls at the tree's foot, for each word."""
+        for bit, bits in self.levels:
+            ones = bits.rank(at)
+            at = np.where((word >> bit) & 1, bits.zeros + ones, at - ones)
+        return at
+
     def rank(self, word: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of each word before place i of the transform."""
-        start = np.zeros(len(word), np.int64)
-        at = i
-        for bit, bits in self.levels:
-            one = ((word >> bit) & 1) == 1
-            a, b = bits.rank(start), bits.rank(at)
-            start = np.where(one, bits.zeros + a, start - a)
-            at = np.where(one, bits.zeros + b, at - b)
-        return at - start
+        return self._down(word, i) - self.foot[word]
 
     def back(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns with one more word in front."""
+        both = self.rank(np.concatenate([word, word]), np.concatenate([lo, hi]))
         head = self.first[word]
-        return head + self.rank(word, lo), head + self.rank(word, hi)
+        return head + both[: len(word)], head + both[len(word) :]
 
     def least_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Least owner within each interval; none may be empty."""
@@ -88,10 +90,11 @@ class Index:
         return out
 
 
-def matching_statistics(index: Index, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def matching_statistics(index: Index, text: np.ndarray, ends: np.ndarray, most: int, until_single: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each end (exclusive) in ``text``: the longest match, up to ``most`` words, that ends there, and its interval.
 
-    Word number 0 matches nothing.
+    Word number 0 matches nothing. With ``until_single`` a search stops at a match that is in the index once: any longer
+    one is at the same place, or nowhere.
     """
     lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), index.n, np.int64)
     length = np.zeros(len(ends), np.int64)
@@ -102,6 +105,8 @@ def matching_statistics(index: Index, text: np.ndarray, ends: np.ndarray, most:
         word = text[at]
         a, b = index.back(word, lo[live], hi[live])
         good = (b > a) & (word > 0)
-        live = live[good]
-        lo[live], hi[live], length[live] = a[good], b[good], k
+        live, a, b = live[good], a[good], b[good]
+        lo[live], hi[live], length[live] = a, b, k
+        if until_single:
+            live = live[b - a > 1]
     return length, lo, hi

@@ -22,7 +22,7 @@ MAX_BLOCKS = 1 << 26
 MAX_EPOCHS = 3
 SEED = 20240613
 #: Documents of a source that are ordered in one task, on average.
-RUN = 4096
+RUN = 512
 GOLDEN = 0.6180339887498949
 
 
@@ -106,7 +106,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed:
     rows = sized.join(facts.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
     # Shuffled order: runs by the top of a hash, then by the whole hash; whole runs before count as one sum.
     runs = max(1, -(-rows.count() // RUN))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("run", F.expr(f"cast(shiftrightunsigned(h, 33) * {runs} div 2147483648 as long)"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = rows.withColumn("h", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")).withColumn("run", F.expr(f"(h div 131072) * {runs} div 2147483648"))
     inner = Window.partitionBy("source_no", "run").orderBy("h", "doc_id", "size")
     rows = rows.withColumn("row_no", F.row_number().over(inner)).withColumn("stop", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     heads = rows.groupBy("source_no", "run").agg(F.sum("size").alias("run_size"))
@@ -137,3 +138,44 @@ def repeat_rows(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = f"""
+with recursive sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint as h from documents
+), src as (
+  select source, sum(size)::bigint as n, row_number() over (order by source nulls last) - 1 as k from sized group by source
+), caps as (
+  select *, (1 + k % 3)::double as w, {MAX_EPOCHS} * n as cap, row_number() over (order by {MAX_EPOCHS} * n / (1 + k % 3), k) as o from src where n > 0
+), levels as (
+  select *, (select sum(n) from src) - coalesce(sum(cap) over (order by o rows between unbounded preceding and 1 preceding), 0) as rest,
+    sum(w) over (order by o rows between current row and unbounded following) as open from caps
+), stop as (
+  select min(o) as o from levels where rest * w / open < cap
+), goals as (
+  select src.*, case when l.o is null then 0.0 when l.o < coalesce((select o from stop), 1e9) then l.cap::double
+      else (select rest::double from levels join stop using (o)) * l.w / (select open from levels join stop using (o)) end as target,
+    greatest(1, least(src.n, greatest({LEAST_BLOCKS}, (src.n + {BLOCK} - 1) // {BLOCK}))) as nb
+  from src left join levels l using (k)
+), shares as (
+  select *, case when n > 0 then target * nb / n else 0.0 end as share from goals
+), edges as (
+  select *, sum(share) over (order by k) / (select sum(share) from shares) as edge from shares
+), slots as (
+  select i, (select count(*) from edges where k < (select max(k) from edges) and edge <= i * {GOLDEN} - floor(i * {GOLDEN})) as k
+  from range((select round_even(sum(share), 0)::bigint from shares)) t(i)
+), ranked as (
+  select k, row_number() over (partition by k order by i) - 1 as r from slots
+), times as (
+  select k, r % nb as b, count(*) as times from ranked join goals using (k) where r < {MAX_EPOCHS} * nb group by all
+), placed as (
+  select s.doc_id, s.size, g.k, g.n, g.target, g.nb, sum(s.size) over (partition by g.k order by h, doc_id, s.size rows unbounded preceding) - s.size as a, row_number() over () as id
+  from sized s join goals g on s.source is not distinct from g.source
+), pieces as (
+  select *, unnest(range(((a + 1) * nb - 1)::bigint // n, ((a + size) * nb - 1)::bigint // n + 1)) as b from placed where size > 0
+), taken as (
+  select id, sum((least(a + size, (b + 1) * n // nb) - greatest(a, b * n // nb)) * times) as taken from pieces join times using (k, b) group by id
+)
+select doc_id, size, n as source_size, target, coalesce(taken, 0)::bigint as taken from placed left join taken using (id)
+"""

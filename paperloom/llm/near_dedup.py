@@ -262,3 +262,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = rf"""
+with recursive w as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as ws from documents
+), s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < {WORDS} then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i:i + {WORDS - 1}], ' '))) end as sh from w
+), x as (
+  select doc_id, len(sh) as n, unnest(sh) as g from s
+), links as (
+  select a.doc_id as a, b.doc_id as b from x a join x b on a.g = b.g and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= {PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))
+), edges as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select doc_id as n, doc_id as r from s union select e.b, reach.r from reach join edges e on e.a = reach.n
+)
+select doc_id, len(sh)::bigint as n_shingles, c as component_id, doc_id = c as kept from s join (select n, min(r) as c from reach group by n) m on m.n = s.doc_id
+"""

@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_divergence": divergence.op2_sql(),
+    "op4_near_dedup": near_dedup.OP4_SQL,
+    "op8_mix_sources": mixing.OP8_SQL,
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op5_top_k": topk.OP5_SQL,
     "op7_warc": warc.OP7_SQL,

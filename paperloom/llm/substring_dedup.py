@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import joined_small, released, table, written
+from paperloom.llm.common import joined_small, table, written
 from paperloom.llm.fm_index import Index, matching_statistics
 from paperloom.llm.wordhash import windows, word_numbers
 
@@ -28,7 +28,7 @@ WINDOW = 13
 ANCHOR = 5
 HOT = 4096
 #: Words of a shard, on average.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 150_000
 
 
 def segments_of(numbers: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,7 +44,10 @@ def segments_of(numbers: np.ndarray, window: int, gram: int) -> tuple[np.ndarray
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``anchor, doc_id, first, last`` of every segment of every document with a doc_id."""
+    """``anchor, doc_id, place`` of every segment of every document; place is first * 256 + number of windows after it.
+
+    A segment has fewer windows than an anchor has places in a window.
+    """
 
     def cut(batches):
         for batch in batches:
@@ -52,11 +55,11 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
                 a, first, last = segments_of(word_numbers(text.as_py())[0], window, gram)
                 if len(a):
-                    parts.append((a, np.full(len(a), doc_id), first.astype(np.int32), last.astype(np.int32)))
+                    parts.append((a, np.full(len(a), doc_id), first * 256 + (last - first)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["anchor", "doc_id", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["anchor", "doc_id", "place"])
 
-    return docs.mapInArrow(cut, "anchor long, doc_id long, first int, last int")
+    return docs.mapInArrow(cut, "anchor long, doc_id long, place long")
 
 
 def spelled(marked: DataFrame, window: int) -> DataFrame:
@@ -68,20 +71,31 @@ def spelled(marked: DataFrame, window: int) -> DataFrame:
     def spell(batches):
         for batch in batches:
             out = {k: [] for k in ("anchor", "doc_id", "first", "text")}
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if not found.is_valid:
-                    continue
+            found = batch.column(2)
+            cut, inner = found.offsets.to_numpy(), found.values
+            anchor, place, hot = (inner.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "place", "hot"))
+            for row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                own = slice(cut[row], cut[row + 1])
                 numbers, start, end, raw = word_numbers(text.as_py())
-                words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                whole = windows(numbers, window).view(np.int64)
-                for s in found.as_py():
-                    a, b = s["first"], s["last"]
-                    for i, j, key in [(w, w, int(whole[w])) for w in range(a, b + 1)] if s["hot"] else [(a, b, s["anchor"])]:
-                        out["anchor"].append(key)
-                        out["doc_id"].append(doc_id)
-                        out["first"].append(i)
-                        out["text"].append(" ".join(words[i : j + window]))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("text", pa.string())]))
+                first = place[own] >> 8
+                last = first + (place[own] & 255)
+                keys = anchor[own]
+                if hot[own].any():  # single windows instead
+                    each = [(w, z, k) for w, z, k, h in zip(first.tolist(), last.tolist(), keys.tolist(), hot[own], strict=True) if not h]
+                    whole = windows(numbers, window).view(np.int64)
+                    each += [(w, w, int(whole[w])) for a, z, h in zip(first.tolist(), last.tolist(), hot[own], strict=True) if h for w in range(a, z + 1)]
+                else:
+                    each = list(zip(first.tolist(), last.tolist(), keys.tolist(), strict=True))
+                if not each:
+                    continue
+                begin, stop = start[[x[0] for x in each]].tolist(), end[[x[1] + window - 1 for x in each]].tolist()
+                out["anchor"] += [x[2] for x in each]
+                out["doc_id"] += [doc_id] * len(each)
+                out["first"] += [x[0] for x in each]
+                # bytes.split() parts at the very blanks of the contract
+                out["text"] += [b" ".join(raw[a:b].split()) for a, b in zip(begin, stop, strict=True)]
+            text = pa.array(out.pop("text"), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(out["anchor"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["first"], pa.int32()), text], names=["anchor", "doc_id", "first", "text"])
 
     return marked.mapInArrow(spell, "anchor long, doc_id long, first int, text string")
 
@@ -102,8 +116,8 @@ def searched(distinct: DataFrame, window: int, shards: int) -> DataFrame:
         index = Index(flat, owners)
         n = size - window + 1
         ends = np.concatenate([h + window + np.arange(k) for h, k in zip(head.tolist(), n.tolist(), strict=True)])
-        length, lo, hi = matching_statistics(index, flat, ends, window)
-        assert (length == window).all()  # each occurs in itself at least
+        # A window occurs in itself at least, so all reach the threshold, or are alone before it.
+        _, lo, hi = matching_statistics(index, flat, ends, window, until_single=True)
         least = index.least_owner(lo, hi)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(least))
         return pa.Table.from_arrays([t["k1"], t["k2"], lists], names=["k1", "k2", "least"])
@@ -117,16 +131,14 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, hot: int
     spark = docs.sparkSession
     # Of rows with one doc_id, all texts count as the document's.
     known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    found = written(anchors(known, window, gram), "anchors")
+    found = anchors(known, window, gram)
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = written(shared.where("lo < hi").select("anchor", (F.col("n") > hot).alias("hot")), "shared-anchors")
-    released(spark)
     hits = joined_small(found, shared, ["anchor"], "inner", rows=200_000)
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last", "hot")).alias("found"))
+    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("found"))
     marked = known.join(hits.hint("merge"), "doc_id").select("doc_id", "text", "found")
     parts = spelled(marked, window).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(5), "text"))
     parts = written(parts, "segments")
-    released(spark)
     distinct = written(parts.groupBy("k1", "k2", "text").agg(F.min("doc_id").alias("doc_id"), F.min("anchor").alias("anchor")), "distinct-segments")
     words = distinct.agg(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit(" "))) + 2)).first()[0] or 0
     least = searched(distinct, window, max(1, -(-words // SHARD_WORDS)))
@@ -134,7 +146,6 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, hot: int
     starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("first") + i)), lambda x: x.isNotNull())
     met = met.select("doc_id", starts.alias("starts")).where(F.size("starts") > 0)
     out = written(met.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts")), "repeats")
-    released(spark)
     return out
 
 
