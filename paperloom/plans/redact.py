@@ -62,18 +62,23 @@ def split_numbers(words: DataFrame, require_context: bool = True) -> DataFrame:
     """Numbers of 3, 2 and 4 digits over five words in a row, from (batch_id, path, page_no, word_idx, text).
 
     With ``require_context`` a context word must be within six words of the third one. A page's words are one
-    group of bounded size.
+    group of bounded size. Words with boxes (xmin, ymin, xmax, ymax as shares of page_width and page_height) also give
+    the box around the five, in points.
     """
     page = Window.partitionBy("batch_id", "path", "page_no").orderBy("word_idx")
     w = {0: F.col("text"), **{k: F.lead("text", k).over(page) for k in range(1, 5)}}
     snippet = F.array_join(F.collect_list(F.nullif(F.col("text"), F.lit(""))).over(page.rowsBetween(-6, 6)), " ")
+    edges = {"x0": ("xmin", "page_width", F.least), "y0": ("ymin", "page_height", F.least), "x1": ("xmax", "page_width", F.greatest), "y1": ("ymax", "page_height", F.greatest)}
+    boxed = all(c in words.columns for e in edges.values() for c in e[:2])
+    if boxed:
+        words = words.withColumns({k: (point := F.col(c) * F.col(size), pick(point, *[F.lead(point, j).over(page) for j in range(1, 5)]))[1] for k, (c, size, pick) in edges.items()})
     rows = words.withColumn("_snippet", snippet).withColumn("_snippet", F.lead("_snippet", 2).over(page)).withColumns({f"_w{k}": c for k, c in w.items()})
     full = lambda k, p: F.coalesce(F.col(f"_w{k}"), F.lit("")).rlike(f"(?U)^{p}$")
     there = F.lead("word_idx", 4).over(page).isNotNull()
     rows = rows.withColumn("_there", there).where(full(0, r"\d{3}") & full(1, r"\D*") & full(2, r"\d{2}") & full(3, r"\D*") & full(4, r"\d{4}") & F.col("_there"))
     if require_context:
         rows = rows.where(F.col("_snippet").rlike(java(SSN_CONTEXT)))
-    return rows.select("batch_id", "path", "page_no", "word_idx", F.lit("OCR_SSN_SPLIT").alias("pattern"), F.concat_ws("-", "_w0", "_w2", "_w4").alias("matched"))
+    return rows.select("batch_id", "path", "page_no", "word_idx", F.lit("OCR_SSN_SPLIT").alias("pattern"), F.concat_ws("-", "_w0", "_w2", "_w4").alias("matched"), *(edges if boxed else ()))
 
 
 def word_hits(words: DataFrame, patterns: list[Pattern], require_context: bool = True, keep_last: int = 0) -> DataFrame:

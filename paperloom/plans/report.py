@@ -43,7 +43,8 @@ def summary(results: DataFrame) -> DataFrame:
 
 def report_json(results: DataFrame, elapsed: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
     """(run_id, report): one JSON text a run."""
-    files = results.groupBy(*RUN).agg(F.sort_array(F.collect_list(F.struct("filename", "stages_ok", "stages_failed"))).alias("files"))
+    by_name = lambda a, b: F.when(a["filename"] < b["filename"], -1).when(a["filename"] > b["filename"], 1).otherwise(0)
+    files = results.groupBy(*RUN).agg(F.array_sort(F.collect_list(F.struct("filename", "stages_ok", "stages_failed")), by_name).alias("files"))
     times = elapsed.groupBy(*RUN).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stage", "elapsed_s")))).alias("stage_elapsed_s"))
     given = F.create_map(*[F.lit(x) for kv in (settings or {}).items() for x in map(str, kv)]) if settings else F.expr("cast(map() as map<string,string>)")
     out = summary(results).join(files.hint("merge"), RUN).join(times.hint("merge"), RUN, "left")

@@ -164,6 +164,38 @@ def split_token_ssn(spark, sf_dir):
 
 SPLIT_SQL = f"""with {LINES_SQL} select o_orderkey::varchar as path, 1 as word_idx, split_part(text, ' ', 2) as matched from lines where o_orderkey % 4 = 0"""
 
+
+def split_boxes(spark, sf_dir):
+    """The box around each of those numbers, on pages of 612 by 792 points."""
+    lines = _lines(spark, sf_dir)
+    w = lines.select("batch_id", "path", "page_no", "o_orderkey", F.posexplode(F.split(F.regexp_replace("text", "-", " - "), " ")).alias("word_idx", "text"))
+    place = "(word_idx * 8 + o_orderkey % 8) / 128.0D"
+    w = w.selectExpr("*", f"{place} as xmin", f"{place} + 0.03125D as xmax", "word_idx / 64.0D as ymin", "(word_idx + 2) / 64.0D as ymax", "612.0D as page_width", "792.0D as page_height")
+    return redact.split_numbers(w).select("path", "x0", "y0", "x1", "y1")
+
+
+BOXES_SQL = f"""with {LINES_SQL} select o_orderkey::varchar as path, (8 + o_orderkey % 8) / 128.0::double * 612 as x0, 1 / 64.0::double * 792 as y0,
+  ((40 + o_orderkey % 8) / 128.0::double + 0.03125::double) * 612 as x1, 7 / 64.0::double * 792 as y1 from lines where o_orderkey % 4 = 0"""
+
+
+def word_hits(spark, sf_dir):
+    """Words that are numbers as a whole, near a word that the guard looks for, and the share to cover."""
+    w = _lines(spark, sf_dir).select("batch_id", "path", "page_no", F.posexplode(F.split("text", " ")).alias("word_idx", "text"))
+    return redact.word_hits(w, load_patterns(["SSN,EIN"]), keep_last=4).select("path", "word_idx", "pattern_no", "matched", F.round("share", 6).alias("share"))
+
+
+WORD_HITS_SQL = f"""with {LINES_SQL} select o_orderkey::varchar as path, 1 as word_idx, unnest([0, 1]) as pattern_no, split_part(text, ' ', 2) as matched, round(5 / 9.0::double, 6) as share from lines where o_orderkey % 4 = 0
+  union all select o_orderkey::varchar, 1, 3, split_part(text, ' ', 2), round(5 / 9.0::double, 6) from lines where o_orderkey % 4 = 2"""
+
+
+def custom_hits(spark, sf_dir):
+    """Hits of a user's pattern, by file."""
+    return redact.hits_by_file(redact.hits(pages(spark, sf_dir), load_patterns([], r"mail[0-9]+\.example\.(?:com|org)")))
+
+
+CUSTOM_SQL = f"""with {FILES_SQL}, {PAGES_SQL}, found as (select batch_id, path, unnest(regexp_extract_all(text, '(?i)mail[0-9]+\\.example\\.(?:com|org)')) as m from pages)
+  select batch_id, path, count(*) as hits from found group by all"""
+
 # Labels -------------------------------------------------------------------------------------------------------------
 
 # The order of a walk of the derived files: the root's PDFs, its images, then folders in natural order.
@@ -581,7 +613,87 @@ SUMMARY_SQL = f"""with {EVENTS_SQL}, s as (
   select run_id, filename, bool_or(event = 'failed') as bad from ev where filename is not null group by all
 ) select run_id, count(*) as total_files, count(*) filter (where not bad) as fully_succeeded, count(*) filter (where bad) as partially_failed from s group by run_id"""
 
+
+
+def label_tokens(spark, sf_dir):
+    """Labels taken apart and put together again; a prefix takes the digits that the number can spare."""
+    token = "case o_orderkey % 4 when 0 then concat('ABC ', lpad(cast(o_orderkey as string), 8, '0')) when 1 then cast(o_custkey + 100000 as string) when 2 then concat('bad-', o_orderkey) else concat('A.B', lpad(cast(o_custkey as string), 6, '0'), ' ') end"
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{token} as token").withColumn("t", L.parse_token(F.col("token")))
+    return rows.select("o_orderkey", "t.prefix", "t.number", "t.width", L.format_label(F.col("t.prefix"), F.col("t.number"), F.col("t.width")).alias("label"))
+
+
+TOKENS_SQL = """with k as (select o_orderkey, o_orderkey % 4 as k, lpad(o_orderkey::varchar, 8, '0') as a, (o_custkey + 100000)::varchar as b, lpad(o_custkey::varchar, 6, '0') as c from orders)
+select o_orderkey, case k when 0 then 'ABC' when 1 then '' when 3 then 'A.B' || left(c, 2) end as prefix, case k when 0 then a when 1 then b when 3 then right(c, 4) end::bigint as number,
+  case k when 0 then 8 when 1 then 6 when 3 then 4 end as width, case k when 0 then 'ABC ' || a when 1 then ' ' || b when 3 then 'A.B' || left(c, 2) || ' ' || right(c, 4) end as label from k"""
+
+
+def range_order(spark, sf_dir):
+    """Rank of index rows by the number in their range, rows without one last."""
+    from pyspark.sql import Window
+
+    rows = _index(spark, sf_dir)
+    by = Window.partitionBy("batch_id", "category").orderBy(L.order_number(F.col("bates_range")).asc_nulls_last(), "ord")
+    return rows.select("batch_id", "ord", F.row_number().over(by).alias("rank"))
+
+
+RANGE_SQL = f"""with {INDEX_SQL} select batch_id, ord, row_number() over (partition by batch_id, category
+  order by try_cast(regexp_extract(bates_range, '([0-9]{{6,10}})', 1) as bigint) nulls last, ord)::int as rank from rows"""
+
+
+def delivery_plan(spark, sf_dir):
+    """Batches that are one file alone, which is handed out bare."""
+    path = "case when o_orderkey % 5 = 0 then '_redaction_audit.json' else concat('d/f', o_orderkey, case when o_orderkey % 3 = 0 then '.txt' else '.PDF' end) end"
+    return report.delivery(_table(spark, sf_dir, "orders").selectExpr("concat('c', o_custkey) as batch_id", f"{path} as path"))
+
+
+DELIVERY_SQL = """select 'c' || o_custkey as batch_id, count(*) as files, case when count(*) = 1 and bool_and(o_orderkey % 3 <> 0) then max('d/f' || o_orderkey || '.PDF') end as single
+  from orders where o_orderkey % 5 <> 0 group by o_custkey"""
+
+
+def failure_headers(spark, sf_dir):
+    """Failures of two stages, each file's first reason, as JSON."""
+    rows = _table(spark, sf_dir, "orders").selectExpr("concat('c', o_custkey % 50) as batch_id", "concat('p', o_orderkey % 40) as path", "o_orderpriority as reason", "o_orderkey")
+    return report.failures_header(report.merged_failures([rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 3 = 0")]))
+
+
+HEADERS_SQL = """with r as (select 'c' || (o_custkey % 50) as b, 'p' || (o_orderkey % 40) as p, o_orderpriority as why, o_orderkey % 2 as k from orders where o_orderkey % 2 = 0
+  union all select 'c' || (o_custkey % 50), 'p' || (o_orderkey % 40), o_orderpriority, 2 from orders where o_orderkey % 3 = 0),
+one as (select b, p, why from r qualify row_number() over (partition by b, p order by k, why) = 1)
+select b as batch_id, '{' || string_agg('"' || p || '":"' || why || '"', ',' order by p) || '}' as header from one group by b"""
+
+
+def sidecar_round_trip(spark, sf_dir):
+    """Records written as a sidecar and read from it."""
+    from paperloom.sources import intake, results
+
+    records = _sidecar(spark, sf_dir).select("batch_id", "ord", "path", "first_label", "last_label")
+    members = results.sidecar_json(records).select("batch_id", F.lit(0).alias("ord"), F.lit("./" + P.SIDECARS[0]).alias("path"), "content")
+    return intake.sidecar_records(members).select("batch_id", "ord", "path", "first_label", "last_label")
+
+
+SIDECAR_SQL = f"""with {FILES_SQL} select batch_id, (row_number() over (partition by batch_id order by ord) - 1)::int as ord, path,
+  'OLD ' || lpad((doc_id * 3 + 1)::varchar, 7, '0') as first_label, 'OLD ' || lpad((doc_id * 3 + 2)::varchar, 7, '0') as last_label from files where doc_id % 4 <> 0"""
+
+
+def report_texts(spark, sf_dir):
+    """Stages of each run's report, read back from its JSON."""
+    events = _events(spark, sf_dir)
+    out = report.report_json(report.file_results(events), report.stage_elapsed(events), {"prefix": "PLM"})
+    return out.select("run_id", F.get_json_object("report", "$.total_files").cast("long").alias("total_files"), F.get_json_object("report", "$.settings.prefix").alias("prefix"))
+
+
+REPORTS_SQL = f"with {EVENTS_SQL} select run_id, count(distinct filename) as total_files, 'PLM' as prefix from ev where filename is not null group by run_id"
+
 QUERIES = {
+    "split_boxes": (split_boxes, BOXES_SQL),
+    "word_hits": (word_hits, WORD_HITS_SQL),
+    "custom_hits": (custom_hits, CUSTOM_SQL),
+    "label_tokens": (label_tokens, TOKENS_SQL),
+    "range_order": (range_order, RANGE_SQL),
+    "delivery_plan": (delivery_plan, DELIVERY_SQL),
+    "failure_headers": (failure_headers, HEADERS_SQL),
+    "sidecar_round_trip": (sidecar_round_trip, SIDECAR_SQL),
+    "report_texts": (report_texts, REPORTS_SQL),
     "redaction_audit": (redaction_audit, AUDIT_SQL),
     "hits_by_file": (hits_by_file, HITS_SQL),
     "ssn9_hits": (ssn9_hits, SSN9_SQL),
