@@ -23,8 +23,9 @@ from paperloom.llm.common import joined_small, shared_dir, table, written
 
 #: Payloads of so many bytes are written once.
 MIN_BYTES = 0
-#: Records of an archive at most.
+#: Records of an archive at most, and its bytes of payload by the mean payload: an archive is read as one row.
 ARCHIVE_RECORDS = 4096
+ARCHIVE_BYTES = 64 << 20
 MAGIC = b"WARC/1.0\r\n"
 DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -44,7 +45,7 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, per_archive: in
 
     Of records with the same payload of ``min_bytes`` or more, the one with the largest page_id is the
     response; others are revisits without a payload that name it, its digest and its length. Rows that
-    repeat the response's page_id are responses too. Null html is an empty payload, null url no target; line
+    repeat the response's page_id are responses too. Archives of large pages hold fewer records. Null html is an empty payload, null url no target; line
     ends in a url are percent-encoded. A null page_id is written as an empty name and read as null.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -65,6 +66,8 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, per_archive: in
         fixed("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(revisit, "0").otherwise(F.col("bytes").cast("string")),
         fixed("\r\n\r\n"), F.when(revisit, "").otherwise(F.col("html")), fixed("\r\n"),
     )
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 1
+    per_archive = max(1, min(per_archive, int(ARCHIVE_BYTES // max(mean, 1))))
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     rows.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
     return path
