@@ -61,8 +61,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
         if seen:
             yield pa.RecordBatch.from_pydict({"lang": list(seen), "counts": pa.array(list(seen.values()), pa.list_(pa.int64()))})
 
+    def add(t: pa.Table) -> pa.Table:  # 16 rows at most
+        counts = t["counts"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, BUCKETS).sum(axis=0)
+        return pa.Table.from_pydict({"lang": t["lang"][:1].to_pylist(), "counts": pa.array([counts], pa.list_(pa.int64()))})
+
+    kind = "lang string, counts array<long>"
+    summed = chosen.mapInArrow(count, kind).groupBy("lang").applyInArrow(add, kind)
     total: dict[str, np.ndarray] = {k: np.zeros(BUCKETS) for k in known}
-    for r in chosen.mapInArrow(count, "lang string, counts array<long>").toArrow().to_pylist():
+    for r in summed.toArrow().to_pylist():  # one row a language
         total[r["lang"]] += r["counts"]
     names = sorted(total)
     p = np.stack([total[k] + 0.5 for k in names], axis=1)
