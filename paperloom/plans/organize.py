@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from paperloom.functions import dates as D
 from paperloom.functions import paths as P
 from paperloom.operators.collisions import free_names
+from paperloom.operators.storage import written
 
 FILE = ["batch_id", "path"]
+# Fixed value: how the reason starts where a PDF's content gave no year.
+FAILED = "all-methods-failed:content-content-"
 
 
 def with_year(files: DataFrame, pages: DataFrame | None = None, low: int = 1900, high: int = 2099, policy: str = "first") -> DataFrame:
@@ -29,28 +32,28 @@ def with_year(files: DataFrame, pages: DataFrame | None = None, low: int = 1900,
     rows = rows.withColumn("_meta", meta).withColumn("year", F.coalesce(F.col("_hit.year"), F.col("_meta")))
     rows = rows.withColumn("method", F.when(F.col("_hit").isNotNull(), "filename").when(F.col("_meta").isNotNull(), "metadata"))
     rows = rows.withColumn("reason", F.when(F.col("_hit").isNotNull(), place(F.col("_hit"))).when(F.col("_meta").isNotNull(), source)).drop("_hit", "_meta")
-    decided = rows.where("method is not null")
-    other = rows.where("method is null and not _pdf").withColumn("method", F.lit("none")).withColumn("reason", F.lit("all-methods-failed:non-pdf-no-content-scan"))
-    open_ = rows.where("method is null and _pdf")
+    rows = rows.withColumn("method", F.when(F.col("method").isNull() & ~F.col("_pdf"), "none").otherwise(F.col("method")))
+    rows = rows.withColumn("reason", F.when(F.col("method") == "none", "all-methods-failed:non-pdf-no-content-scan").otherwise(F.col("reason")))
     if pages is None:
-        open_ = open_.withColumn("_text", F.lit(None).cast("string"))
-    else:
-        front = pages.where("page_no = 1").select(*FILE, F.col("text").alias("_text"))
-        open_ = open_.join(front.hint("merge"), FILE, "left")
+        return rows.withColumns({"reason": F.coalesce("reason", F.lit(f"{FAILED}no-text-extracted")), "method": F.coalesce("method", F.lit("none"))}).drop("_pdf")
+    open_ = rows.where("method is null")
+    front = pages.where("page_no = 1").select(*FILE, F.col("text").alias("_text"))
+    open_ = open_.join(front.hint("merge"), FILE, "left")
     found = D.pick_year(D.year_candidates(F.col("_text"), low, high), policy, by_place=True)
     blank = F.trim(F.regexp_replace(F.coalesce("_text", F.lit("")), r"(?U)\s+", " ")) == ""
     open_ = open_.withColumn("_hit", found).withColumn("year", F.col("_hit.year")).withColumn("method", F.when(F.col("_hit").isNotNull(), "content").otherwise("none"))
     said = F.concat(F.lit("content-pattern"), F.col("_hit.pattern").cast("string"), F.lit("@pos"), F.col("_hit.start").cast("string"))
-    none = F.when(blank, "all-methods-failed:content-content-no-text-extracted").otherwise("all-methods-failed:content-content-no-year-found")
+    none = F.when(blank, f"{FAILED}no-text-extracted").otherwise(f"{FAILED}no-year-found")
     open_ = open_.withColumn("reason", F.when(F.col("_hit").isNotNull(), said).otherwise(none)).drop("_hit", "_text")
-    return decided.unionByName(other).unionByName(open_).drop("_pdf")
+    return rows.where("method is not null").unionByName(open_).drop("_pdf")
 
 
 def organized(files: DataFrame, pages: DataFrame | None = None, low: int = 1900, high: int = 2099, policy: str = "first", unknown: str = "Unknown") -> DataFrame:
     """``files`` with year, method, reason, ``folder`` and ``placed``, the free name in the folder."""
     rows = with_year(files, pages, low, high, policy)
     rows = rows.withColumn("folder", F.coalesce(F.col("year").cast("string"), F.lit(unknown))).withColumn("name", P.filename(F.col("path")))
-    return free_names(rows)
+    # The names of a folder are read twice, the years' patterns should not be.
+    return free_names(written(rows, "years"))
 
 
 def folder_counts(rows: DataFrame) -> DataFrame:
