@@ -22,6 +22,8 @@ from paperloom.llm.tokens import vocabulary
 MAX_TOKENS = 4096
 END = 1
 GROUP = 8192
+#: Documents whose tokens a task holds at a time.
+SLICE = 512
 #: Weights of tokens, documents and attention cost in the choice.
 WEIGHTS = (1.0, 1e-6, 1e-3)
 
@@ -37,7 +39,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, end: int = END, max_tokens: in
     def cut(batches):
         v, row = vocabulary(vocabulary_path), 0
         tail = np.array([end], v.dtype).tobytes()
-        for batch in batches:
+        for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
             out = {k: [] for k in ("doc_id", "row_no", "piece", "start", "length", "ids_crc32")}
             kept = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Parts kept by a worker before it starts afresh: bounds its memory to about 250 MB.
-KEPT_PARTS = 900_000
+#: Parts kept by a worker before it starts afresh: bounds its memory to about 200 MB.
+KEPT_PARTS = 600_000
 #: Letters whose NFC form is themselves and whose lower case is one letter of the same range.
 LETTERS = "A-Za-zÀ-ÖØ-Þà-öø-þ"
 PLAIN = re.compile(f"([{LETTERS}]+)([.,;:!?#$%&*|<>]*)")
