@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows of one doc_id are one
     document, with all their texts, and each gets its component. Rows with a null doc_id link nothing;
-    their component is that of their copies, if any, else null, and they are kept.
+    their component is that of their copies, if any, else null, and those without copies are kept.
     """
     read = docs.select("doc_id", "text")
     rows = written(signed(read), "signed")
@@ -241,13 +241,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     posted = written(postings(reps, hot_keys(reps)), "postings")
     rare = merged(posted.where("not is_hot"))
     hot = posted.where("is_hot")
-    heads = hot.groupBy("key").agg(F.min("doc_id").alias("a"))
-    whole = hot.join(heads.hint("merge"), "key").select("a", F.col("doc_id").alias("b"))
+    # Small tables are written before hot rows meet them: a join of two bare shuffles is one that Spark can split.
+    heads = written(hot.groupBy("key").agg(F.min("doc_id").alias("a")), "hot-heads")
+    whole = joined_small(hot, heads, ["key"], "inner").select("a", F.col("doc_id").alias("b"))
     cluster = written(components(rare.unionAll(whole)), "clusters")
     # Blocks of a cluster, by a hash, then the cells of each document.
     members = reps.drop("sig").join(cluster.hint("merge"), reps["doc_id"] == cluster["node"]).select("doc_id", "n_shingles", F.col("component").alias("cluster"))
     size = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = members.join(size.hint("merge"), "cluster").withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+    members = joined_small(members, written(size, "cluster-sizes"), ["cluster"], "inner", rows=200_000).withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
     cells = members.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = written(cells.select("doc_id", "cluster", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), (F.col("own") < F.col("with")).alias("side")), "cells")
     if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
@@ -257,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = classes.join(linked.hint("merge"), classes["rep"] == linked["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_hash").join(placed.hint("merge"), "set_hash", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
