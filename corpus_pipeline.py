@@ -23,8 +23,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source; ``n_chars`` follows the text."""
-    out = line_dedup.drop_boilerplate(docs)
+    """All documents, without the lines that are boilerplate of their source; ``n_chars`` follows the text.
+
+    A group of near-duplicates counts as one page of a source, or its copies would make its own lines boilerplate.
+    """
+    copies = near_dedup.near_duplicates(docs).where("doc_id is not null and component_id <> doc_id")
+    family = written(copies.groupBy("doc_id").agg(F.min("component_id").alias("family")), "families")
+    out = line_dedup.drop_boilerplate(docs, family=family)
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -16,20 +16,29 @@ MAX_RATIO = 0.02
 MIN_PAGES = 3
 
 
-def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, family: DataFrame | None = None) -> DataFrame:
     """(host, h1, h2, pages, ratio) of every boilerplate line; two hashes stand for the line.
 
+    With ``family`` (a written table of doc_id and family) the documents of one family, and the rows of one
+    doc_id, are one page of each host they are on: a line of copies of one text is not boilerplate by their number.
+
     A line counts once a page. Lines are compared as they are but for blanks at their ends;
     blank lines never count. Rows with a null host or null text take no part. A host has at most
     (mean lines a page) / ``max_ratio`` such lines.
     """
-    page = docs.select(F.col(host).alias("host"), F.col("text").alias("page_text")).where("host is not null and page_text is not null")
+    if family is not None:
+        family = family.select(F.col("doc_id").alias("_doc_id"), F.col("family").alias("_family"))
+        docs = joined_small(docs.select(F.col(host), "text", F.col("doc_id").alias("_doc_id")), family, ["_doc_id"], "left", rows=200_000)
+        docs = docs.withColumn("_page", F.coalesce("_family", "_doc_id", F.xxhash64("text")))
+    own = ["_page"] if family is not None else []
+    pages = F.count_distinct("_page") if family is not None else F.count(F.lit(1))
+    page = docs.select(F.col(host).alias("host"), F.col("text").alias("page_text"), *own).where("host is not null and page_text is not null")
     # The hash decides which lines are alike: 128 bits, and 16 bytes a line to shuffle instead of the line.
     line = F.explode(F.array_distinct(F.transform(F.split("page_text", "\n"), lambda x: F.trim(x, F.lit(" \t\r")))))
-    lines = page.select("host", line.alias("line")).where("line <> ''")
-    keys = lines.select("host", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
-    often = keys.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    totals = page.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    lines = page.select("host", *own, line.alias("line")).where("line <> ''")
+    keys = lines.select("host", *own, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    often = keys.groupBy("host", "h1", "h2").agg(pages.alias("pages")).where(F.col("pages") >= min_pages)
+    totals = page.groupBy("host").agg(pages.alias("host_pages"))
     return (
         often.join(totals.hint("merge"), "host")
         .withColumn("ratio", F.col("pages") / F.col("host_pages"))
@@ -38,14 +47,14 @@ def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RA
     )
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, family: DataFrame | None = None) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, plus ``n_lines`` and ``n_removed`` (in place of any of that name).
 
     Every row stays, repeated rows included, and so does every other column; the text of a row
     without boilerplate stays as it is, byte for byte. Null text stays null with 0 lines; rows
-    with a null host keep their text. An empty table gives an empty one.
+    with a null host keep their text. An empty table gives an empty one. ``family``: see ``boilerplate``.
     """
-    found = boilerplate(docs, host, max_ratio, min_pages)
+    found = boilerplate(docs, host, max_ratio, min_pages, family)
     # One row a host with its few boilerplate lines, so that a text meets them in one step.
     per_host = found.groupBy("host").agg(F.collect_set(F.struct("h1", "h2")).alias("_boilerplate"))
     per_host = written(per_host.withColumnRenamed("host", "_host"), "boilerplate")

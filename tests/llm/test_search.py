@@ -197,3 +197,28 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert near_dedup.near_duplicates(left).where("not kept").count() == 0
     run = cp.run(spark, sf_dir)
     assert run.columns == docs.columns and run.count() == counts[5]
+
+
+def test_pipeline_keeps_one_of_large_groups_of_copies(spark, sf_dir):
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sources = [r[0] for r in docs.select("source").distinct().orderBy("source").collect()]
+    r = random.Random(6)
+    text = lambda f: [[f"{f}{r.randrange(10**6)}" for _ in range(9)] for _ in range(20)]
+    spelt = lambda lines: "\n".join(" ".join(x) for x in lines)
+    exact, near = text("e"), text("n")
+    rows = [(10**6 + i, spelt(exact)) for i in range(100)]
+    for i in range(100):
+        lines = [list(x) for x in near]
+        lines[i % 20][4] = f"changed{i}"
+        rows.append((2 * 10**6 + i, spelt(lines)))
+    made = spark.createDataFrame([(i, t, "en", sources[i % len(sources)], len(t)) for i, t in rows], docs.schema)
+    # On every page of a source, and still boilerplate.
+    made = docs.unionByName(made).withColumn("text", F.concat(F.lit("home | about | contact\n"), "text"))
+    out = cp.drop_boilerplate_lines(spark, made, sf_dir)
+    left = {x.doc_id: x.text for x in cp.drop_near_duplicates(spark, out, sf_dir).collect()}
+    assert left[10**6] == spelt(exact) and left[2 * 10**6] == rows[100][1]
+    assert not any(10**6 < i < 2 * 10**6 or i > 2 * 10**6 for i in left)
+    assert not any("home | about | contact" in (t or "") for t in left.values())
