@@ -44,22 +44,24 @@ def segments_of(numbers: np.ndarray, window: int, gram: int) -> tuple[np.ndarray
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``anchor, doc_id, place`` of every segment of every document; place is first * 256 + number of windows after it.
+    """``anchor, place`` of every segment of every text, after the other columns of ``docs`` (longs); place is first * 256 + number of windows after it.
 
     A segment has fewer windows than an anchor has places in a window.
     """
+    own = [c for c in docs.columns if c != "text"]
+    names = ["anchor", *own, "place"]
 
     def cut(batches):
         for batch in batches:
             parts = []
-            for doc_id, text in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
+            for *key, text in zip(*[x.to_numpy() for x in batch.columns[:-1]], batch.columns[-1], strict=True):
                 a, first, last = segments_of(word_numbers(text.as_py())[0], window, gram)
                 if len(a):
-                    parts.append((a, np.full(len(a), doc_id), first * 256 + (last - first)))
+                    parts.append((a, *[np.full(len(a), k) for k in key], first * 256 + (last - first)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["anchor", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=names)
 
-    return docs.mapInArrow(cut, "anchor long, doc_id long, place long")
+    return docs.select(*own, "text").mapInArrow(cut, ", ".join(f"{c} long" for c in names))
 
 
 def spelled(marked: DataFrame, window: int) -> DataFrame:
@@ -130,13 +132,16 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, hot: int
     """(doc_id, starts): the windows of each document, by first word, that a smaller doc_id has too."""
     spark = docs.sparkSession
     # Of rows with one doc_id, all texts count as the document's.
-    known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    known, text_key = docs.select("doc_id", "text").where("doc_id is not null and text is not null"), ["doc_id"]
+    if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        # Places are those of one text, and are looked up in no other.
+        known, text_key = known.dropDuplicates(["doc_id", "text"]).withColumn("version", F.xxhash64("text")), ["doc_id", "version"]
     found = anchors(known, window, gram)
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = written(shared.where("lo < hi").select("anchor", (F.col("n") > hot).alias("hot")), "shared-anchors")
     hits = joined_small(found, shared, ["anchor"], "inner", rows=200_000)
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("found"))
-    marked = known.join(hits.hint("merge"), "doc_id").select("doc_id", "text", "found")
+    hits = hits.groupBy(*text_key).agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("found"))
+    marked = known.join(hits.hint("merge"), text_key).select("doc_id", "text", "found")
     parts = spelled(marked, window).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(5), "text"))
     parts = written(parts, "segments")
     distinct = written(parts.groupBy("k1", "k2", "text").agg(F.min("doc_id").alias("doc_id"), F.min("anchor").alias("anchor")), "distinct-segments")
@@ -168,7 +173,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, hot:
                 if places.is_valid:
                     edge = np.zeros(len(start) + window + 1, np.int64)
                     at = places.values.to_numpy()
-                    at = at[at + window <= len(start)]
+                    at = at[at < len(start)]  # found in a longer text of the doc_id
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
                     stay = np.cumsum(edge)[: len(start)] == 0

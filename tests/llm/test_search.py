@@ -136,6 +136,23 @@ def test_substring_dedup(spark, odd, none, hot):
     assert substring_dedup.drop_repeats(odd).count() == odd.count() and substring_dedup.drop_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_substring_dedup_of_two_texts_of_a_doc_id(spark, hot):
+    import hashlib
+
+    import duckdb
+
+    w = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join(w[60:90])), (2, " ".join(w)), (2, " ".join(["a", *w[:20]])), (2, " ".join(f"s{i}" for i in range(70))), (3, " ".join(w)), (4, " ".join(["b", *w[:20]])), (5, None)]
+    got = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    c = duckdb.connect()
+    c.sql("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", rows)
+    want = c.sql(f"select doc_id, n_words, kept_sha256 from ({substring_dedup.OP3_SQL})").fetchall()
+    assert sorted((r.doc_id, r.n_words, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got) == sorted(want)
+    assert all(r.n_words - r.n_removed == len(r.kept_text.split()) for r in got)
+
+
 def test_top_k(spark):
     r = random.Random(2)
     vec = lambda: [r.uniform(-1, 1) for _ in range(7)]
