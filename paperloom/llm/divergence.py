@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import BLANK_RUN, table, words, written
+from paperloom.operators.numbering import running_before
 
 # Common words of each language.
 COMMON = {
@@ -116,19 +117,22 @@ def scaled(x: Column) -> Column:
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """(lang, classes, common): each language's median shares over its documents of full length, scaled to sum 1 when compared.
+    """(lang, classes, common): each language's exact median shares (the lower of two middles) over its documents of full length, scaled to sum 1 when compared.
 
     Medians, as junk documents would pull means towards themselves. One row a language. Languages without a list of common words have null in ``common``.
     """
     long_ = counted.where("lang is not null and judged_classes")
-    wide = max(len(x.split()) for x in COMMON.values()) + 1
     n = len(CLASSES) + 1
-    middle = lambda x: F.percentile_approx(x, 0.5, F.lit(10_000))
-    means = [middle(F.get(scaled(F.col("classes")), F.lit(k))).alias(f"a{k}") for k in range(n)]
-    means += [middle(F.when(F.col("judged_common"), F.get(scaled(F.col("common")), F.lit(k)))).alias(f"b{k}") for k in range(wide)]
-    out = long_.groupBy("lang").agg(*means)
-    common = F.filter(F.array(*[F.col(f"b{k}") for k in range(wide)]), lambda x: x.isNotNull())
-    return out.select("lang", F.array(*[F.col(f"a{k}") for k in range(n)]).alias("classes"), F.when(F.size(common) > 0, common).alias("common"))
+    common = F.when(F.col("judged_common"), scaled(F.col("common"))).otherwise(F.array().cast("array<double>"))
+    shares = long_.select("lang", F.posexplode(F.concat(scaled(F.col("classes")), common)).alias("k", "share")).where("share is not null")  # null where too few words were counted
+    counts = written(shares.groupBy("lang", "k", "share").agg(F.count(F.lit(1)).alias("n")), "share-counts")
+    totals = counts.groupBy("lang", "k").agg(F.sum("n").alias("total"))  # a row a language and place
+    met = running_before(counts, "n", ["share"], ["lang", "k"]).join(totals.hint("merge"), ["lang", "k"])
+    middle = met.where((2 * F.col("before") < F.col("total")) & (2 * (F.col("before") + F.col("n")) >= F.col("total")))
+    found = middle.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "share"))).alias("found"))
+    found = found.select("lang", F.transform("found", lambda x: x["share"]).alias("found"))
+    common = F.slice("found", n + 1, F.greatest(F.size("found"), F.lit(1)))
+    return found.select("lang", F.slice("found", 1, n).alias("classes"), F.when(F.size("found") > n, common).alias("common"))
 
 
 def judge(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON) -> DataFrame:

@@ -41,6 +41,20 @@ def test_distance(spark):
     assert [r[0] for r in rows.select(divergence.distance(F.col("p"), F.col("q"))).collect()] == [1.0, 0.0, None]
 
 
+def test_references_are_exact_medians(spark):
+    n = 300_001
+    # Every value from 0 to n - 1 once, in no order; then a language of two documents.
+    x = (F.col("id") * 7919 % n).cast("double")
+    zeros = F.array_repeat(F.lit(0.0), len(divergence.CLASSES) - 1)
+    row = lambda lang, x: [F.lit(lang).alias("lang"), F.concat(F.array(x, F.lit(float(n)) - x), zeros).alias("classes"), F.array(F.lit(float(n)) - x, x).alias("common")]
+    many, two = spark.range(n).select(*row("en", x)), spark.range(2).select(*row("xx", F.col("id").cast("double"))).withColumn("common", F.lit(None).cast("array<double>"))
+    counted = many.union(two).withColumn("judged_classes", F.lit(True)).withColumn("judged_common", F.col("common").isNotNull())
+    got = {r.lang: r for r in divergence.references(counted).collect()}
+    middle = n // 2
+    assert got["en"].classes[:3] == [middle / n, (n - middle) / n, 0.0] and got["en"].common == [(n - middle) / n, middle / n]
+    assert got["xx"].classes[:2] == [0.0, (n - 1) / n] and got["xx"].common is None and len(got["xx"].classes) == len(divergence.CLASSES) + 1
+
+
 def test_line_dedup(spark, odd, none):
     got = line_dedup.drop_boilerplate(odd, max_ratio=0.5, min_pages=3)
     assert got.columns == [*odd.columns, "n_lines", "n_removed"]
