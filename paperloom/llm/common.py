@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators.storage import joined_small, shared_dir, written
+from paperloom.operators.storage import discard, joined_small, shared_dir, written
 
-__all__ = ["BLANKS", "BLANK_RUN", "WORD", "joined_small", "partitions", "shared_dir", "table", "word_count", "words", "written"]
+__all__ = ["BLANKS", "BLANK_RUN", "WORD", "discard", "fresh", "joined_small", "partitions", "shared_dir", "table", "word_count", "words", "written"]
 
 #: Characters that separate words in every contract: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -35,3 +35,12 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name

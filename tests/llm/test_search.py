@@ -71,7 +71,8 @@ def test_join_path_of_hot_keys(spark, sf_dir):
     assert a == b
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components(spark, few):
     r = random.Random(1)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
     root = {}
@@ -86,9 +87,9 @@ def test_components(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     df = spark.createDataFrame([*links, (None, 3)], "a long, b long")
-    got = {row.node: row.component for row in components.components(df).collect()}
+    got = {row.node: row.component for row in components.components(df, few).collect()}
     assert all(got.get(n, n) == find(n) for n in root) and set(got) <= set(root)
-    assert components.components(df.limit(0)).count() == 0
+    assert components.components(df.limit(0), few).count() == 0
 
 
 def test_fm_index():
