@@ -1,6 +1,6 @@
 """FM-index of a text of words, with a wavelet tree over its Burrows-Wheeler transform.
 
-Suffixes are sorted by their first ``DEPTH`` words, which serves patterns of fewer words. The
+Suffixes are sorted by their first ``depth`` words, which serves patterns of no more words. The
 tree has one bit vector a level, packed in 64-bit words with a running count for each; both ends of an
 interval cost one count a level. All patterns step backwards together.
 """
@@ -9,41 +9,44 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 32
+DEPTH = 16
 _ONE, _63 = np.uint64(1), np.uint64(63)
 
 
 class Bits:
-    """A bit vector with rank."""
+    """A bit vector with rank: 64 bits a word and a 32-bit running count for each word."""
 
     def __init__(self, bits: np.ndarray):
         padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view("<u8").astype(np.uint64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words))[:-1]]).astype(np.int64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]]).astype(np.uint32)
         self.zeros = int(len(bits) - bits.sum())
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before place i."""
         k = i >> 6
         low = (_ONE << (i.astype(np.uint64) & _63)) - _ONE
-        return self.before[k] + np.bitwise_count(self.words[k] & low)
+        return self.before[k].astype(np.int64) + np.bitwise_count(self.words[k] & low)
 
 
 class Index:
-    """Index of ``words`` (numbers from 1, 0 between passages); ``owners`` has the owner of each place."""
+    """Index of ``words`` (numbers from 1, 0 between passages); ``owners`` has the owner of each place.
 
-    def __init__(self, words: np.ndarray, owners: np.ndarray):
+    Suffixes are sorted by ``depth`` words, so patterns of at most so many are served. It keeps the bit vectors, where
+    each word's suffixes start, and one small number a suffix for its owner: neither text nor suffix array.
+    """
+
+    def __init__(self, words: np.ndarray, owners: np.ndarray, depth: int = DEPTH):
         n = len(words)
         rank = words.astype(np.int64)
-        step = 1
-        order = np.argsort(rank, kind="stable")
-        while step < DEPTH:
-            follow = np.full(n, -1, np.int64)
-            follow[: max(0, n - step)] = rank[step:]
-            order = np.lexsort((follow, rank))
-            new = np.concatenate([[0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(follow[order]) != 0))])
-            rank = np.empty(n, np.int64)
+        order, step = np.argsort(rank, kind="stable"), 1
+        while step < depth:
+            follow = np.zeros(n, np.int64)
+            follow[: max(0, n - step)] = rank[step:] + 1
+            key = rank * (int(follow.max(initial=0)) + 1) + follow
+            order = np.argsort(key)
+            new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
             rank[order] = new
             step *= 2
         self.n = n
@@ -56,12 +59,8 @@ class Index:
             self.levels.append((bit, Bits(ones)))
             left = np.concatenate([left[ones == 0], left[ones == 1]])
         self.foot = self._down(np.arange(top), np.zeros(top, np.int64))
-        # Least owner of any range of suffixes: minima of all runs of 2**k.
-        self.least = [owners[order]]
-        while (1 << len(self.least)) <= n:
-            a = self.least[-1]
-            h = 1 << (len(self.least) - 1)
-            self.least.append(np.minimum(a[:-h], a[h:]))
+        self.names, place = np.unique(owners, return_inverse=True)
+        self.owner = place[order].astype(np.min_scalar_type(max(1, len(self.names))))
 
     def _down(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where place ``at`` of the transform falls at the tree's foot, for each word."""
@@ -81,32 +80,38 @@ class Index:
         return head + both[: len(word)], head + both[len(word) :]
 
     def least_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Least owner within each interval; none may be empty."""
-        level = np.floor(np.log2(hi - lo)).astype(np.int64)
-        out = np.empty(len(lo), np.int64)
-        for k in np.unique(level):
-            m = level == k
-            out[m] = np.minimum(self.least[k][lo[m]], self.least[k][hi[m] - (1 << int(k))])
-        return out
+        """Least owner within each interval; none may be empty.
+
+        Each different interval is read once. Intervals of patterns of one length are disjoint or the same, so for these
+        the work is at most the index's size.
+        """
+        if not len(lo):
+            return np.zeros(0, np.int64)
+        each, place = np.unique(np.stack([lo, hi], axis=1), axis=0, return_inverse=True)
+        padded = np.append(self.owner, self.owner[-1:])
+        return self.names[np.minimum.reduceat(padded, each.ravel())[::2]][place.ravel()]
 
 
-def matching_statistics(index: Index, text: np.ndarray, ends: np.ndarray, most: int, until_single: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def matching_statistics(index: Index, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each end (exclusive) in ``text``: the longest match, up to ``most`` words, that ends there, and its interval.
 
-    Word number 0 matches nothing. With ``until_single`` a search stops at a match that is in the index once: any longer
-    one is at the same place, or nowhere.
+    Word number 0, and numbers that the index does not have, match nothing.
     """
     lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), index.n, np.int64)
     length = np.zeros(len(ends), np.int64)
     live = np.arange(len(ends))
+    known = len(index.first) - 1
     for k in range(1, most + 1):
         at = ends[live] - k
-        live, at = live[at >= 0], at[at >= 0]
-        word = text[at]
-        a, b = index.back(word, lo[live], hi[live])
-        good = (b > a) & (word > 0)
+        live = live[at >= 0]
+        word = text[ends[live] - k]
+        good = (word > 0) & (word < known)
+        live, word = live[good], word[good]
+        if k == 1:
+            a, b = index.first[word], index.first[word + 1]
+        else:
+            a, b = index.back(word, lo[live], hi[live])
+        good = b > a
         live, a, b = live[good], a[good], b[good]
         lo[live], hi[live], length[live] = a, b, k
-        if until_single:
-            live = live[b - a > 1]
     return length, lo, hi

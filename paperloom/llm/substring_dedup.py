@@ -4,8 +4,9 @@
    with one anchor are a segment. Equal windows have equal anchors.
 2. Anchors of two documents at least mark the segments that can hold a repeat. Such segments are sharded
    by anchor, so a window meets its repeats in its shard.
-3. Each shard of distinct segments is indexed; its segments are streamed against the index by backward search,
-   and where the matching statistic reaches ``WINDOW``, the least document of the interval is looked up.
+3. A shard's index holds the segments that a later document could repeat: those not of an anchor's last document alone.
+   Segments of other documents than an anchor's first one are streamed against it: backward search computes the matching
+   statistic at each of their words, and where it reaches ``WINDOW``, the interval's least document is reported.
 4. A document loses the words of its windows whose least document is smaller.
 
 An anchor of more than ``HOT`` segments is sharded by single windows, so no shard holds all of its segments.
@@ -13,16 +14,15 @@ An anchor of more than ``HOT`` segments is sharded by single windows, so no shar
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import joined_small, table, written
+from paperloom.llm.common import discard, joined_small, table, written
 from paperloom.llm.fm_index import Index, matching_statistics
-from paperloom.llm.wordhash import windows, word_numbers
+from paperloom.llm.wordhash import spans, windows, word_numbers
 
 WINDOW = 13
 ANCHOR = 5
@@ -78,13 +78,14 @@ def spelled(marked: DataFrame, window: int) -> DataFrame:
             anchor, place, hot = (inner.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "place", "hot"))
             for row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 own = slice(cut[row], cut[row + 1])
-                numbers, start, end, raw = word_numbers(text.as_py())
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                start, end = spans(np.frombuffer(raw, np.uint8))
                 first = place[own] >> 8
                 last = first + (place[own] & 255)
                 keys = anchor[own]
                 if hot[own].any():  # single windows instead
                     each = [(w, z, k) for w, z, k, h in zip(first.tolist(), last.tolist(), keys.tolist(), hot[own], strict=True) if not h]
-                    whole = windows(numbers, window).view(np.int64)
+                    whole = windows(word_numbers(text.as_py())[0], window).view(np.int64)
                     each += [(w, w, int(whole[w])) for a, z, h in zip(first.tolist(), last.tolist(), hot[own], strict=True) if h for w in range(a, z + 1)]
                 else:
                     each = list(zip(first.tolist(), last.tolist(), keys.tolist(), strict=True))
@@ -103,26 +104,39 @@ def spelled(marked: DataFrame, window: int) -> DataFrame:
 
 
 def searched(distinct: DataFrame, window: int, shards: int) -> DataFrame:
-    """``k1, k2, least``: of each distinct segment, the least document of each of its windows."""
+    """``k1, k2, least``: of each streamed segment, the least document of each of its windows; a window without an earlier place has the largest long.
+
+    ``distinct`` has each segment's text once, with the first and the last document it is in.
+    """
 
     def search(t: pa.Table) -> pa.Table:
         t = t.sort_by([("k1", "ascending"), ("k2", "ascending")])
-        parts = [x.as_py().split(" ") for x in t["text"]]
-        size = np.array([len(p) for p in parts])
-        numbers: dict[str, int] = {}
-        flat = np.array([0, *(n for p in parts for n in (*(numbers.setdefault(w, len(numbers) + 1) for w in p), 0))], np.int64)
-        head = 1 + np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-        owners = np.full(len(flat), np.iinfo(np.int64).max)
-        where = np.repeat(np.arange(len(parts)), size + 1)
-        owners[1:] = t["doc_id"].to_numpy()[where]
-        index = Index(flat, owners)
-        n = size - window + 1
-        ends = np.concatenate([h + window + np.arange(k) for h, k in zip(head.tolist(), n.tolist(), strict=True)])
-        # A window occurs in itself at least, so all reach the threshold, or are alone before it.
-        _, lo, hi = matching_statistics(index, flat, ends, window, until_single=True)
-        least = index.least_owner(lo, hi)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(least))
-        return pa.Table.from_arrays([t["k1"], t["k2"], lists], names=["k1", "k2", "least"])
+        owner, last = t["doc_id"].to_numpy(), t["last_id"].to_numpy()
+        _, of = np.unique(t["anchor"].to_numpy(), return_inverse=True)
+        lowest, highest = np.full(of.max() + 1, np.iinfo(np.int64).max), np.full(of.max() + 1, np.iinfo(np.int64).min)
+        np.minimum.at(lowest, of, owner)
+        np.maximum.at(highest, of, last)
+        held, streamed = owner < highest[of], np.flatnonzero(last > lowest[of])
+        parts = pc.split_pattern(t["text"].combine_chunks(), " ")
+        cut = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.values.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+        size = np.diff(cut)
+        # Texts end to end, 0 before and after each; the index has those held, and one 0 more in front.
+        flat = np.zeros(len(words) + len(size) + 1, np.int64)
+        head = 1 + cut[:-1] + np.arange(len(size))
+        flat[np.arange(len(words)) + 1 + np.repeat(np.arange(len(size)), size)] = words
+        of_text = np.repeat(np.arange(len(size)), size + 1)
+        own = np.concatenate([[True], held[of_text]])
+        index = Index(flat[own], np.concatenate([[np.iinfo(np.int64).max], owner[of_text]])[own], max(window, 2))
+        n = size[streamed] - window + 1
+        before = np.concatenate([[0], np.cumsum(n)])
+        ends = np.arange(before[-1]) + np.repeat(head[streamed] + window - before[:-1], n)
+        length, lo, hi = matching_statistics(index, flat, ends, window)
+        least = np.full(len(ends), np.iinfo(np.int64).max)
+        told = length >= window
+        least[told] = index.least_owner(lo[told], hi[told])
+        lists = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(least))
+        return pa.Table.from_arrays([t["k1"].take(streamed), t["k2"].take(streamed), lists], names=["k1", "k2", "least"])
 
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(search, "k1 long, k2 long, least array<long>")
@@ -136,7 +150,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, hot: int
     if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         # Places are those of one text, and are looked up in no other.
         known, text_key = known.dropDuplicates(["doc_id", "text"]).withColumn("version", F.xxhash64("text")), ["doc_id", "version"]
-    found = anchors(known, window, gram)
+    found = written(anchors(known, window, gram), "anchors")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = written(shared.where("lo < hi").select("anchor", (F.col("n") > hot).alias("hot")), "shared-anchors")
     hits = joined_small(found, shared, ["anchor"], "inner", rows=200_000)
@@ -144,13 +158,16 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, hot: int
     marked = known.join(hits.hint("merge"), text_key).select("doc_id", "text", "found")
     parts = spelled(marked, window).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(5), "text"))
     parts = written(parts, "segments")
-    distinct = written(parts.groupBy("k1", "k2", "text").agg(F.min("doc_id").alias("doc_id"), F.min("anchor").alias("anchor")), "distinct-segments")
+    discard(found)
+    distinct = written(parts.groupBy("k1", "k2", "text").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last_id"), F.min("anchor").alias("anchor")), "distinct-segments")
     words = distinct.agg(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit(" "))) + 2)).first()[0] or 0
-    least = searched(distinct, window, max(1, -(-words // SHARD_WORDS)))
+    least = written(searched(distinct, window, max(1, -(-words // SHARD_WORDS))), "searched")
+    discard(distinct)
     met = parts.select("k1", "k2", "doc_id", "first").join(least.hint("merge"), ["k1", "k2"])
     starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("first") + i)), lambda x: x.isNotNull())
     met = met.select("doc_id", starts.alias("starts")).where(F.size("starts") > 0)
     out = written(met.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts")), "repeats")
+    discard(parts, least, shared)
     return out
 
 
@@ -168,18 +185,25 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, hot:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
             for text, places in zip(batch.column(1), batch.column(2), strict=True):
-                _, start, end, raw = word_numbers(text.as_py())
-                stay = np.ones(len(start), bool)
-                if places.is_valid:
-                    edge = np.zeros(len(start) + window + 1, np.int64)
-                    at = places.values.to_numpy()
-                    at = at[at < len(start)]  # found in a longer text of the doc_id
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    stay = np.cumsum(edge)[: len(start)] == 0
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                if not places.is_valid:  # bytes.split() parts at the very blanks of the contract
+                    own = raw.split()
+                    n_words.append(len(own))
+                    n_removed.append(0)
+                    kept.append(b" ".join(own))
+                    continue
+                start, end = spans(np.frombuffer(raw, np.uint8))
+                edge = np.zeros(len(start) + window + 1, np.int64)
+                at = places.values.to_numpy()
+                at = at[at < len(start)]  # found in a longer text of the doc_id
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + window, -1)
+                stay = np.cumsum(edge)[: len(start)] == 0
+                turn = np.flatnonzero(np.diff(np.concatenate([[False], stay, [False]])))  # runs of words that stay
+                runs = [raw[a:b] for a, b in zip(start[turn[0::2]].tolist(), end[turn[1::2] - 1].tolist(), strict=True)]
                 n_words.append(len(start))
                 n_removed.append(int((~stay).sum()))
-                kept.append(b" ".join([raw[a:b] for a, b in zip(start[stay].tolist(), end[stay].tolist(), strict=True)]))
+                kept.append(b" ".join(b" ".join(runs).split()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return met.select("doc_id", "text", "starts").mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept_text string")
