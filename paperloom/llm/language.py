@@ -1,8 +1,9 @@
 """Language identification by multilingual mixture inference.
 
 A document is a mixture of languages; each language is a distribution of letter trigrams, in
-``BUCKETS`` hashed places. Expectation-maximisation estimates the proportions, for the best one, two
-and three languages; the set with the largest likelihood less a penalty per language is chosen.
+``BUCKETS`` hashed places, and beside them stands a background in which every place is equally likely.
+Expectation-maximisation estimates the proportions for the best language, the best two, and so on as long
+as another one raises the likelihood less a penalty per language; the last set that did is chosen.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import table
+from paperloom.llm.common import fresh, table
 
 BUCKETS = 1 << 14
 #: The model is fitted on about so many labelled documents of each language at most, chosen by a hash; whole texts.
 SAMPLE = 5_000
 #: Nats of log-likelihood that each further language must bring, times the log of the number of trigrams.
 PENALTY = 3.0
-ROUNDS = 12
-LARGEST_SET = 3
+#: Rounds for the order in which languages are tried. The mixture of a set goes on until no share moves by TOLERANCE.
+ROUNDS = 8
+TOLERANCE = 1e-3
 LETTER = re.compile(r"[^\W\d_]")
 
 # Bytes: ASCII letters (texts are in lower case) and all bytes of longer characters stay, others part words.
@@ -75,54 +77,79 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     return names, p / p.sum(axis=0)
 
 
+def mixture(like: np.ndarray, count: np.ndarray, start: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Shares (documents x columns) and log-likelihoods of mixtures of ``like``'s columns; a document's rows begin at ``start``.
+
+    ``like`` has, for each of a document's trigrams, its probability in each column; ``count`` how often it is there. A
+    document is done once no share moves by TOLERANCE, or after ``rounds``.
+    """
+    n = len(start)
+    length = np.diff(np.append(start, len(count)))
+    share = np.full((n, like.shape[1]), 1.0 / like.shape[1])
+    live, x, c, at, left = np.arange(n), like, count, start, rounds
+    while len(live) and left != 0:
+        own, width = np.repeat(np.arange(len(live)), length[live]), np.add.reduceat(c, at)
+        moved = np.full(len(live), np.inf)
+        for _ in range(8 if left is None else min(8, left)):
+            old = share[live]
+            part = x * old[own]
+            part *= (c / part.sum(axis=1))[:, None]
+            share[live] = np.add.reduceat(part, at) / width[:, None]
+            moved = np.abs(share[live] - old).max(axis=1)
+        left = None if left is None else max(0, left - 8)
+        open_ = moved >= TOLERANCE
+        if not open_.all():  # what is done leaves
+            keep = open_[own]
+            x, c, live = x[keep], c[keep], live[open_]
+            at = np.concatenate([[0], np.cumsum(length[live])[:-1]]).astype(np.int64) if len(live) else start[:0]
+    return share, np.add.reduceat(np.log((like * np.repeat(share, length, axis=0)).sum(axis=1)) * count, start)
+
+
 def infer(p: np.ndarray, place: np.ndarray, count: np.ndarray, start: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """Proportions (documents x languages) of the chosen sets; ``start`` tells where each document's trigrams begin.
+    """Shares (documents x languages) of the chosen sets; what is missing from 1 is the background's. ``start`` tells where each document's trigrams begin.
 
-    No document may be without trigrams.
+    No document may be without trigrams. Sets are nested: the language that explains most alone, then the others by
+    their share in the mixture of all.
     """
     n, k = len(start), p.shape[1]
-    doc = np.repeat(np.arange(n), np.diff(np.append(start, len(place))))
-    like = p[place]
-    size = np.add.reduceat(count, start)
-    alone = np.add.reduceat(np.log(like) * count[:, None], start)
-
-    def mixture(allowed: np.ndarray):
-        share = allowed / allowed.sum(axis=1, keepdims=True)
-        for _ in range(ROUNDS):
-            part = like * share[doc]
-            part *= (count / part.sum(axis=1))[:, None]
-            share = np.add.reduceat(part, start) / size[:, None]
-        return share, np.add.reduceat(np.log((like * share[doc]).sum(axis=1)) * count, start)
-
-    # Languages in order of their share in the mixture of all, after the one that explains most alone.
-    full, _ = mixture(np.ones((n, k)))
+    length = np.diff(np.append(start, len(place)))
+    like = np.column_stack([p[place], np.full(len(place), 1.0 / len(p))])
+    cost = penalty * np.log(np.add.reduceat(count, start) + 1)
+    alone = np.add.reduceat(np.log(like[:, :k]) * count[:, None], start)
     first = alone.argmax(axis=1)
+    full = mixture(like, count, start, ROUNDS)[0][:, :k]
     full[np.arange(n), first] = 2
     order = np.argsort(-full, axis=1, kind="stable")
-    best = np.zeros((n, k))
-    best[np.arange(n), first] = 1
-    score = alone[np.arange(n), first] - penalty * np.log(size + 1)
-    for m in range(2, min(k, LARGEST_SET) + 1):
-        allowed = np.zeros((n, k))
-        np.put_along_axis(allowed, order[:, :m], 1.0, axis=1)
-        share, value = mixture(allowed)
-        value -= m * penalty * np.log(size + 1)
-        better = value > score
-        best[better], score[better] = share[better], value[better]
+    best, score = np.zeros((n, k)), np.full(n, -np.inf)
+    live = np.arange(n)
+    for m in range(1, k + 1):
+        keep = np.isin(np.repeat(np.arange(n), length), live)
+        chosen = np.repeat(order[live, :m], length[live], axis=0)
+        own = np.column_stack([np.take_along_axis(like[keep], chosen, axis=1), like[keep, k]])
+        at = np.concatenate([[0], np.cumsum(length[live])[:-1]]).astype(np.int64)
+        share, value = mixture(own, count[keep], at)
+        value = value - m * cost[live]
+        better = value > score[live]
+        live, share = live[better], share[better]
+        score[live] = value[better]
+        best[live] = 0
+        best[live[:, None], order[live, :m]] = share[:, :m]
+        if not len(live):
+            break
     return best
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``docs`` with ``lang_pred`` (the language of the largest share), ``score`` (that share) and ``languages``.
+    """``docs`` with ``lang_pred`` (the language of the largest share), ``score`` (that share of the text, from 0 to 1) and ``languages``.
 
-    ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Rows keep all their
-    columns but any of these names; repeated rows get the same answer. Only ``text`` is an input.
+    What no language explains better than chance counts for none, so a text in a language that was not learned has a low
+    score. ``languages`` has the shares of the languages among themselves. ``und`` with score 0 if the text is null or has
+    no letter, or nothing was learned. Rows keep all their columns but any of these names; repeated rows get the same
+    answer. Only ``text`` is an input, and only texts go to Python.
     """
     names, p = model
     docs = docs.drop("lang_pred", "score", "languages")
     held = docs.sparkSession.sparkContext.broadcast((names, p))  # languages x 16384 numbers
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at = docs.columns.index("text")
 
     def answer(texts: list[str | None]):
         names, p = held.value
@@ -141,18 +168,21 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             share = infer(p, np.concatenate(place), np.concatenate(count).astype(float), np.array(start))
             for i, row in zip(own, share, strict=True):
                 order = [j for j in np.argsort(-row, kind="stable") if row[j] > 0]
-                out[i] = (names[order[0]], min(1.0, float(row[order[0]])), ",".join(f"{names[j]}:{row[j]:.3f}" for j in order))
+                whole = sum(row[j] for j in order)
+                out[i] = (names[order[0]], min(1.0, float(row[order[0]])), ",".join(f"{names[j]}:{row[j] / whole:.3f}" for j in order))
         return out
 
-    def predict(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):  # the inference holds so many documents at a time
-                piece = batch.slice(a, 256)
-                found = answer(piece.column(at).to_pylist())
-                extra = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names=[*piece.schema.names, "lang_pred", "score", "languages"])
-
-    return docs.mapInArrow(predict, f"{kind}, lang_pred string, score double, languages string")
+    @F.arrow_udf("struct<lang_pred:string,score:double,languages:string>")
+    def predicted(texts: pa.Array) -> pa.Array:
+        found = []
+        for a in range(0, len(texts), 128):  # the inference holds so many documents at a time
+            found += answer(texts.slice(a, 128).to_pylist())
+        parts = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string()))]
+        return pa.StructArray.from_arrays(parts, names=["lang_pred", "score", "languages"])
+
+    name = fresh(docs, "predicted")
+    out = docs.withColumn(name, predicted(F.col("text")))
+    return out.select(*docs.columns, f"{name}.lang_pred", f"{name}.score", f"{name}.languages")
 
 
 def held_out():
