@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import table, written
-from paperloom.llm.tokens import vocabulary
+from paperloom.llm.tokens import KEPT_PARTS, vocabulary
 
 MAX_TOKENS = 4096
 END = 1
@@ -28,16 +28,16 @@ SLICE = 512
 WEIGHTS = (1.0, 1e-6, 1e-3)
 
 
-def pieces(docs: DataFrame, vocabulary_path: str, end: int = END, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary_path: str, end: int = END, max_tokens: int = MAX_TOKENS, with_ids: bool = False, keep: int = KEPT_PARTS) -> DataFrame:
     """``doc_id, row_no, piece, start, length, ids_crc32`` (and ``ids``) of every row's tokens with the end id.
 
     Null text counts as empty: one piece with the end id alone. ``row_no`` tells repeated rows apart
-    within a task's rows; rows with a null ``doc_id`` are pieces like any other.
+    within a task's rows; rows with a null ``doc_id`` are pieces like any other. ``keep`` bounds a worker's memory.
     """
     schema = "doc_id long, row_no long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches):
-        v, row = vocabulary(vocabulary_path), 0
+        v, row = vocabulary(vocabulary_path, keep), 0
         tail = np.array([end], v.dtype).tobytes()
         for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
             out = {k: [] for k in ("doc_id", "row_no", "piece", "start", "length", "ids_crc32")}

@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Parts kept by a worker before it starts afresh: bounds its memory to about 200 MB.
-KEPT_PARTS = 600_000
+#: Parts of a generation that a worker keeps; it keeps two, of parts and of plain runs each: about 200 MB in all.
+KEPT_PARTS = 450_000
 #: Letters whose NFC form is themselves and whose lower case is one letter of the same range.
 LETTERS = "A-Za-zÀ-ÖØ-Þà-öø-þ"
 PLAIN = re.compile(f"([{LETTERS}]+)([.,;:!?#$%&*|<>]*)")
@@ -27,10 +27,32 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class Odd(Exception):
+    """A part that the splitting rule may join with its neighbours."""
+
+
+class Kept(dict):
+    """Made values by key, in two generations: of the older one, what is asked for again stays."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Vocabulary:
     """Encodes texts as the library's ``encode(text, add_special_tokens=False).ids`` does."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KEPT_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,28 +63,27 @@ class Vocabulary:
         self.letters = byte_letters()
         # White space vanishes in a lower-casing vocabulary and joins the next word in a byte-level one.
         self.newline = b"" if self.lower else self._bytes(self.whole.encode("\n", add_special_tokens=False).ids)
-        self.after: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.after, self.runs = Kept(self._after, most), Kept(self._run, most)
 
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
     def _run(self, run: str) -> bytes:
         """Ids of a run that is one unit of the splitting rule."""
-        found = self.runs.get(run)
-        if found is None:
-            if len(self.runs) >= KEPT_PARTS:
-                self.runs.clear()
-            units = self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))
-            found = self.runs[run] = self._bytes([u.id for u in units])
-        return found
+        return self._bytes([u.id for u in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))])
+
+    def _after(self, part: str) -> bytes:
+        """Ids of a part with one blank before it."""
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise Odd
+        return self._part(part, True)
 
     def _part(self, part: str, space: bool) -> bytes:
         """Ids of a part without white space at its ends; ``space``: one blank stands before it."""
         if m := PLAIN.fullmatch(part):
             word, marks = m.groups()
             word = word.lower() if self.lower else " " + word if space else word
-            return self._run(word) + self._run(marks) if marks else self._run(word)
+            return self.runs[word] + self.runs[marks] if marks else self.runs[word]
         if "\n" in part:
             lines = part.split("\n")
             if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
@@ -76,27 +97,19 @@ class Vocabulary:
         first, *rest = text.split(" ")
         try:
             ids = b"".join(map(self.after.__getitem__, rest))
-        except KeyError:
-            if not all(x and not x[0].isspace() and not x[-1].isspace() for x in set(rest)):
-                return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
-            if len(self.after) >= KEPT_PARTS:
-                self.after.clear()
-            kept = self.after
-            for part in rest:
-                if part not in kept:
-                    kept[part] = self._part(part, True)
-            ids = b"".join(map(kept.__getitem__, rest))
+        except Odd:
+            return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
         if not first or first[0].isspace() or first[-1].isspace():
             return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
         return self._part(first, False) + ids
 
 
-_loaded: dict[str, Vocabulary] = {}
+_loaded: dict[tuple, Vocabulary] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, most: int = KEPT_PARTS) -> Vocabulary:
     """This worker's vocabulary for a file, kept with what it has learned between tasks."""
-    if path not in _loaded:
+    if (path, most) not in _loaded:
         _loaded.clear()
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+        _loaded[path, most] = Vocabulary(path, most)
+    return _loaded[path, most]
