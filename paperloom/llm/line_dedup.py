@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import joined_small, table, written
+from paperloom.llm.common import fresh, joined_small, table, written
 
 #: Production parameters: a line on more than 2 % of a host's pages, and on 3 pages at least, is boilerplate.
 MAX_RATIO = 0.02
@@ -26,7 +26,7 @@ def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RA
     blank lines never count. Rows with a null host or null text take no part. A host has at most
     (mean lines a page) / ``max_ratio`` such lines.
     """
-    if family is not None:
+    if family is not None:  # only the host, the text and doc_id are read
         family = family.select(F.col("doc_id").alias("_doc_id"), F.col("family").alias("_family"))
         docs = joined_small(docs.select(F.col(host), "text", F.col("doc_id").alias("_doc_id")), family, ["_doc_id"], "left", rows=200_000)
         docs = docs.withColumn("_page", F.coalesce("_family", "_doc_id", F.xxhash64("text")))
@@ -57,17 +57,18 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = M
     found = boilerplate(docs, host, max_ratio, min_pages, family)
     # One row a host with its few boilerplate lines, so that a text meets them in one step.
     per_host = found.groupBy("host").agg(F.collect_set(F.struct("h1", "h2")).alias("_boilerplate"))
-    per_host = written(per_host.withColumnRenamed("host", "_host"), "boilerplate")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    met = joined_small(docs.select(*own, F.col(host).alias("_host")), per_host, ["_host"], "left", rows=1_000)
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    at, boiler, kept_lines = (fresh(docs, x) for x in ("host", "boilerplate", "kept"))
+    per_host = written(per_host.withColumnsRenamed({"host": at, "_boilerplate": boiler}), "boilerplate")
+    met = joined_small(docs.select(*own, F.col(host).alias(at)), per_host, [at], "left", rows=1_000)
     lines = F.split("text", "\n")
     key = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"))
     trimmed = lambda x: F.trim(x, F.lit(" \t\r"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_boilerplate"), key(trimmed(x))))
-    met = met.withColumn("_kept", F.when(F.col("_boilerplate").isNull(), lines).otherwise(kept))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(boiler), key(trimmed(x))))
+    met = met.withColumn(kept_lines, F.when(F.col(boiler).isNull(), lines).otherwise(kept))
     count = lambda x: F.when(F.col("text").isNull(), 0).otherwise(F.size(x)).cast("long")
-    met = met.withColumn("n_lines", count(lines)).withColumn("n_removed", F.col("n_lines") - count(F.col("_kept")))
-    met = met.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n")))
+    met = met.withColumn("n_lines", count(lines)).withColumn("n_removed", F.col("n_lines") - count(F.col(kept_lines)))
+    met = met.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join(kept_lines, "\n")))
     return met.select(*own, "n_lines", "n_removed")
 
 

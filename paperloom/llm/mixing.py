@@ -11,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import joined_small, table, word_count, written
+from paperloom.llm.common import discard, fresh, joined_small, table, word_count, written
 
-#: Words of a block at most, the unit of a slot; a source has at least so many blocks, if it has the words;
-#: and the most blocks of the largest source (blocks grow beyond it).
+#: Words of a block at most, the unit of a slot; a source has at least so many blocks, if it has the words.
 BLOCK = 256
 LEAST_BLOCKS = 64
-MAX_BLOCKS = 1 << 26
 #: No document is taken more often.
 MAX_EPOCHS = 3
 SEED = 20240613
@@ -98,7 +96,6 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed:
     plan = plan_sources(sized, weights)
     if not plan:
         plan = [(None, 0, 0.0)]
-    block = max(block, -(-max(n for _, n, _ in plan) // MAX_BLOCKS))
     facts = [(k, s, n, t, blocks_of(n, block)) for k, (s, n, t) in enumerate(plan)]
     facts = spark.createDataFrame(facts, "source_no int, source string, source_size long, target double, n_blocks long")
     few = len(plan) <= 10_000  # names and three numbers each
@@ -114,6 +111,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed:
     heads = heads.withColumn("head", F.sum("run_size").over(Window.partitionBy("source_no").orderBy("run")) - F.col("run_size"))
     rows = rows.join(heads.drop("run_size").hint("merge"), ["source_no", "run"]).withColumn("start", F.col("head") + F.col("stop") - F.col("size"))
     rows = written(rows.select("doc_id", "source", "source_no", "run", "row_no", "size", "source_size", "target", "n_blocks", "start"), "mix-rows")
+    discard(sized)
     meets = "sequence(((start + 1) * n_blocks - 1) div source_size, ((start + size) * n_blocks - 1) div source_size)"
     pieces = rows.where("size > 0").withColumn("block_no", F.explode(F.expr(meets)))
     part = F.expr("least(start + size, (block_no + 1) * source_size div n_blocks) - greatest(start, block_no * source_size div n_blocks)")
@@ -130,9 +128,10 @@ def repeat_rows(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
     """
     plan = mix(docs, weights, block, seed).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     times = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
-    plan = plan.where("size > 0").select(F.col("doc_id").alias("_mixed"), times.alias("_times")).where("_times > 0")
-    met = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_mixed")))
-    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    mixed, often, copy = (fresh(docs, x) for x in ("mixed", "times", "copy"))
+    plan = plan.where("size > 0").select(F.col("doc_id").alias(mixed), times.alias(often)).where(F.col(often) > 0)
+    met = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col(mixed)))
+    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(often))).alias(copy)).drop(copy)
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
