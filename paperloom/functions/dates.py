@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from paperloom.functions.matching import find_all
 
 _YEAR = r"(?:20\d{2}|19\d{2})"
-#: Month names, as the year pattern knows them.
+# Month names as the year patterns know them, and these patterns: years by themselves, after day and month,
+# and after a month's name; each match ends in the year.
 MONTHS = r"Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?"
-#: Years by themselves, after day and month, and after a month's name; each match ends in the year.
 YEAR_PATTERNS = (
     rf"(?iU)(?<!\d){_YEAR}(?!\d)",
     rf"(?iU)(?<!\d)\d{{1,2}}[ _\.-]\d{{1,2}}[ _\.-]{_YEAR}(?!\d)",
@@ -74,4 +74,5 @@ def pick_year(candidates: Column, policy: str, by_place: bool = False) -> Column
 
 
 def iso_utc(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A timestamp as ISO text in UTC, whatever the session's zone is."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Words that look like prefixes of labels and are none.
 NO_PREFIXES = ("MONTHLY", "BOX", "ID", "TARGET", "REQUESTED", "MISC", "PAGE", "LOREM", "IPSUM")
-#: A label candidate in upper-case text, a number without prefix, a label by itself.
+# A label candidate in upper-case text (on a page, in the browser), a number without prefix, a label by itself.
 CANDIDATE = r"(?U)\b([A-Z][A-Z0-9.]{0,20})[ \t\-–—]+([0-9]{6,10})\b"
 BROWSER_CANDIDATE = r"(?U)\b([A-Z][A-Z0-9.]{0,20})[\s\-–—]+([0-9]{6,10})\b"
 BARE = r"(?U)\b(0\d{5,9})\b"

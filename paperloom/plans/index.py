@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import dates as D
 from paperloom.functions import labels as L
 from paperloom.functions import paths as P
+from paperloom.operators.numbering import running_before
 from paperloom.operators.picks import lookup, lookup_table
 
 LABELS = ["first_label", "last_label"]
@@ -69,9 +70,9 @@ def sheet(rows: DataFrame) -> DataFrame:
     """(batch_id, row_no, row_type, date_text, text, bates) of the index sheet.
 
     The header is row 3. Per category, in order: its own row, its documents by name, a blank row. Row numbers come from
-    counts: files of a category in one window, categories of a batch in another.
+    counts: files of a category by prefix sums over ranges, categories of a batch in a window.
     """
-    named = rows.withColumn("_at", F.row_number().over(Window.partitionBy("batch_id", "category").orderBy("filename", "ord")))
+    named = running_before(rows.withColumn("_one", F.lit(1)), "_one", ["filename", "ord"], ["batch_id", "category"]).withColumn("_at", F.col("before") + 1)
     groups = rows.groupBy("batch_id", "category").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("batch_id").orderBy("category").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     groups = groups.withColumn("_head", F.sum(F.col("_n") + 2).over(before) - F.col("_n") - 2 + FIRST_ROW)

@@ -17,8 +17,10 @@ FILE = ["batch_id", "path"]
 
 
 def margin_blocks(blocks: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """Text blocks in the foot of a page."""
-    return blocks.where((F.col("block_type") == 0) & (F.col("y0") >= F.col("page_height") * (1 - margin)) & (F.trim("text") != ""))
+    """Text blocks in the foot of a PDF's page, and all of an image; other kinds have none."""
+    kind = P.ext(F.col("path"))
+    foot = kind.isin(*P.PDF) & (F.col("y0") >= F.col("page_height") * (1 - margin))
+    return blocks.where((F.col("block_type") == 0) & (F.trim("text") != "") & (foot | kind.isin(*P.LABEL_IMAGES)))
 
 
 def _candidates(text: Column, profile: str) -> Column:
@@ -32,11 +34,11 @@ def detect(blocks: DataFrame, files: DataFrame, extra: tuple[str, ...] = (), pro
     ``blocks`` (batch_id, path, page_no, block_no, block_type, y0, page_height, text) are read from the first and last
     page of each of ``files`` (batch_id, path, page_count). The file's prefix is the most frequent one of zero-padded
     numbers, else of all, words that are no prefixes left out; of equal ones the first. Without any, zero-padded
-    numbers by themselves count. With ``profile='browser'`` whole pages are read and there is no such fallback.
+    numbers by themselves count. An image is read whole and has one label, the first; other kinds have none. With ``profile='browser'`` whole pages are read and there is no such fallback.
     """
     nos = [*L.NO_PREFIXES, *(x.strip().upper() for x in extra if x.strip())]
     ends = files.select(*FILE, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.lit(1).alias("page_no")), F.struct(F.lit(1).alias("side"), F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1)).cast("int").alias("page_no")))).alias("e")).select(*FILE, "e.*")
-    near = margin_blocks(blocks) if profile == "margin" else blocks.where("block_type = 0")
+    near = margin_blocks(blocks) if profile == "margin" else blocks.where((F.col("block_type") == 0) & P.ext(F.col("path")).isin(*P.PDF, *P.LABEL_IMAGES))
     text = near.withColumn("page_no", F.col("page_no").cast("int")).join(ends.hint("merge"), [*FILE, "page_no"]).withColumn("up", F.upper("text"))
     bare = F.filter(F.transform(find_all(F.col("up"), L.BARE), lambda m: m["text"]), lambda x: x.try_cast("long") > 0)
     rows = text.select(*FILE, "side", "block_no", F.posexplode(_candidates(F.col("up"), profile)).alias("pos", "c")).select(*FILE, "side", "c.*", (F.col("side") * 1e12 + F.col("block_no") * 1e6 + F.col("pos")).alias("at"))
@@ -58,6 +60,8 @@ def detect(blocks: DataFrame, files: DataFrame, extra: tuple[str, ...] = (), pro
     number = lambda c: F.regexp_extract(c, r"(\d{6,10})$", 1).try_cast("long")
     swap = F.coalesce(number(F.col("b")) < number(F.col("a")), F.lit(False))
     found = found.select(*FILE, F.when(swap, F.col("b")).otherwise(F.col("a")).alias("first_label"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("last_label"))
+    image = P.ext(F.col("path")).isin(*P.LABEL_IMAGES)
+    found = found.withColumn("last_label", F.when(image, F.col("first_label")).otherwise(F.col("last_label")))
     out = files.select(*FILE).join(found.hint("merge"), FILE, "left")
     return out.select(*FILE, F.coalesce("first_label", F.lit("")).alias("first_label"), F.coalesce("last_label", F.lit("")).alias("last_label"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import paths as P
 from paperloom.functions.matching import find_all, find_all_custom, near, quoted, search_variants, without_last_digits
 from paperloom.functions.patterns import SSN_CONTEXT, Pattern, java
 
@@ -15,6 +16,7 @@ LONGEST_LITERAL = 60
 def hits(pages: DataFrame, patterns: list[Pattern], require_context: bool = True, keep_last: int = 0) -> DataFrame:
     """``pages`` (batch_id, path, page_no, text) to one row a match: pattern_no, pattern, start, matched, literal, partial.
 
+    Only PDFs and JPEG or PNG images are read; other kinds are no part of a redaction.
     All patterns are looked for in one pass over a page. Overlapping patterns each count. With ``keep_last``,
     ``literal`` is the part before that many digits, if any, and ``partial`` says so. Null text has no hits.
     """
@@ -25,6 +27,7 @@ def hits(pages: DataFrame, patterns: list[Pattern], require_context: bool = True
         if p.context and require_context:
             found = F.filter(found, lambda m: near(F.col("text"), m["start"], m["end"], java(p.context)))
         per.append(F.transform(found, lambda m: F.struct(F.lit(k).alias("pattern_no"), F.lit(p.regex).alias("pattern"), m["start"].alias("start"), m["text"].alias("matched"))))
+    pages = pages.where(P.ext(F.col("path")).isin(*P.PDF, *P.LABEL_IMAGES))
     out = pages.withColumn("hit", F.explode(F.concat(*per))).select("batch_id", "path", "page_no", "hit.*")
     head = without_last_digits(F.col("matched"), keep_last) if keep_last > 0 else F.lit("")
     return out.withColumn("partial", head != "").withColumn("literal", F.when(head != "", head).otherwise(F.col("matched")))
@@ -87,10 +90,8 @@ def word_hits(words: DataFrame, patterns: list[Pattern], require_context: bool =
     ``share`` is 1, or with ``keep_last`` the part of the digits before the last ones.
     """
     page = Window.partitionBy("batch_id", "path", "page_no").orderBy("word_idx").rowsBetween(-6, 6)
-    rows = words.where("text <> ''").join(
-        words.select("batch_id", "path", "page_no", "word_idx", F.array_join(F.collect_list(F.nullif(F.col("text"), F.lit(""))).over(page), " ").alias("_snippet")).hint("merge"),
-        ["batch_id", "path", "page_no", "word_idx"],
-    )
+    snippet = F.array_join(F.collect_list(F.nullif(F.col("text"), F.lit(""))).over(page), " ")
+    rows = words.withColumn("_snippet", snippet).where("text <> ''")
     tests = []
     for k, p in enumerate(patterns):
         fits = F.col("text").rlike(f"^(?:{java(p.regex, p.case_sensitive)})$")

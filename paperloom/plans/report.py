@@ -45,7 +45,8 @@ def report_json(results: DataFrame, elapsed: DataFrame, settings: dict[str, str]
     """(run_id, report): one JSON text a run."""
     by_name = lambda a, b: F.when(a["filename"] < b["filename"], -1).when(a["filename"] > b["filename"], 1).otherwise(0)
     files = results.groupBy(*RUN).agg(F.array_sort(F.collect_list(F.struct("filename", "stages_ok", "stages_failed")), by_name).alias("files"))
-    times = elapsed.groupBy(*RUN).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stage", "elapsed_s")))).alias("stage_elapsed_s"))
+    times = F.transform(F.sort_array(F.collect_list(F.struct("started", "stage", "elapsed_s"))), lambda x: F.struct(x["stage"], x["elapsed_s"]))
+    times = elapsed.groupBy(*RUN).agg(F.map_from_entries(times).alias("stage_elapsed_s"))  # in the order of first starts
     given = F.create_map(*[F.lit(x) for kv in (settings or {}).items() for x in map(str, kv)]) if settings else F.expr("cast(map() as map<string,string>)")
     out = summary(results).join(files.hint("merge"), RUN).join(times.hint("merge"), RUN, "left")
     return out.select("run_id", F.to_json(F.struct(*[c for c in out.columns], given.alias("settings"))).alias("report"))

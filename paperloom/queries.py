@@ -70,7 +70,7 @@ def _hits(spark, sf_dir, presets):
 
 def _found_sql(presets) -> str:
     each = " union all ".join(
-        f"select batch_id, path, page_no, '{p.regex.replace(chr(39), chr(39) * 2)}' as pattern, unnest(regexp_extract_all(text, '(?i){p.regex.replace(chr(39), chr(39) * 2)}')) as matched from pages"
+        f"select batch_id, path, page_no, '{p.regex.replace(chr(39), chr(39) * 2)}' as pattern, unnest(regexp_extract_all(text, '(?i){p.regex.replace(chr(39), chr(39) * 2)}')) as matched from pages where path not like '%.txt'"
         for p in load_patterns(presets)
     )
     return f"with {FILES_SQL}, {PAGES_SQL}, found as ({each})"
@@ -101,7 +101,7 @@ def ssn9_hits(spark, sf_dir):
 
 
 SSN9_SQL = f"""with {FILES_SQL}, {PAGES_SQL} select batch_id, path, page_no, m as matched from (
-  select batch_id, path, page_no, unnest(regexp_extract_all(text, '[0-9]+')) as m from pages)
+  select batch_id, path, page_no, unnest(regexp_extract_all(text, '[0-9]+')) as m from pages where path not like '%.txt')
   where length(m) = 9 and m[1:3] not in ('000', '666')"""
 
 # A line for each order: numbers with and without the words that guards look for.
@@ -121,7 +121,7 @@ def _lines(spark, sf_dir) -> DataFrame:
     one = "concat(lpad(cast(o_custkey % 90 + 10 as string), 2, '0'), '-', lpad(cast(o_orderkey % 9999999 as string), 7, '0'))"
     head = "case o_orderkey % 4 when 0 then 'SSN: ' when 1 then 'Ref ' when 2 then 'EIN ' else 'Case no ' end"
     text = F.expr(f"concat({head}, case when o_orderkey % 4 in (0, 1) then {two} else {one} end)")
-    return _table(spark, sf_dir, "orders").select(F.lit("b").alias("batch_id"), F.col("o_orderkey").cast("string").alias("path"), F.lit(1).alias("page_no"), text.alias("text"), "o_orderkey")
+    return _table(spark, sf_dir, "orders").select(F.lit("b").alias("batch_id"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("path"), F.lit(1).alias("page_no"), text.alias("text"), "o_orderkey")
 
 
 def ssn_ein_context(spark, sf_dir):
@@ -130,7 +130,7 @@ def ssn_ein_context(spark, sf_dir):
     return found.groupBy("path").agg(F.count(F.lit(1)).alias("hits"), F.min("matched").alias("matched"))
 
 
-CONTEXT_SQL = f"""with {LINES_SQL} select o_orderkey::varchar as path, case when o_orderkey % 4 = 0 then 2 else 1 end as hits,
+CONTEXT_SQL = f"""with {LINES_SQL} select o_orderkey || '.pdf' as path, case when o_orderkey % 4 = 0 then 2 else 1 end as hits,
   split_part(text, ' ', 2) as matched from lines where o_orderkey % 4 in (0, 2)"""
 
 
@@ -162,7 +162,7 @@ def split_token_ssn(spark, sf_dir):
     return redact.split_numbers(w).select("path", "word_idx", "matched")
 
 
-SPLIT_SQL = f"""with {LINES_SQL} select o_orderkey::varchar as path, 1 as word_idx, split_part(text, ' ', 2) as matched from lines where o_orderkey % 4 = 0"""
+SPLIT_SQL = f"""with {LINES_SQL} select o_orderkey || '.pdf' as path, 1 as word_idx, split_part(text, ' ', 2) as matched from lines where o_orderkey % 4 = 0"""
 
 
 def split_boxes(spark, sf_dir):
@@ -174,7 +174,7 @@ def split_boxes(spark, sf_dir):
     return redact.split_numbers(w).select("path", "x0", "y0", "x1", "y1")
 
 
-BOXES_SQL = f"""with {LINES_SQL} select o_orderkey::varchar as path, (8 + o_orderkey % 8) / 128.0::double * 612 as x0, 1 / 64.0::double * 792 as y0,
+BOXES_SQL = f"""with {LINES_SQL} select o_orderkey || '.pdf' as path, (8 + o_orderkey % 8) / 128.0::double * 612 as x0, 1 / 64.0::double * 792 as y0,
   ((40 + o_orderkey % 8) / 128.0::double + 0.03125::double) * 612 as x1, 7 / 64.0::double * 792 as y1 from lines where o_orderkey % 4 = 0"""
 
 
@@ -184,8 +184,8 @@ def word_hits(spark, sf_dir):
     return redact.word_hits(w, load_patterns(["SSN,EIN"]), keep_last=4).select("path", "word_idx", "pattern_no", "matched", F.round("share", 6).alias("share"))
 
 
-WORD_HITS_SQL = f"""with {LINES_SQL} select o_orderkey::varchar as path, 1 as word_idx, unnest([0, 1]) as pattern_no, split_part(text, ' ', 2) as matched, round(5 / 9.0::double, 6) as share from lines where o_orderkey % 4 = 0
-  union all select o_orderkey::varchar, 1, 3, split_part(text, ' ', 2), round(5 / 9.0::double, 6) from lines where o_orderkey % 4 = 2"""
+WORD_HITS_SQL = f"""with {LINES_SQL} select o_orderkey || '.pdf' as path, 1 as word_idx, unnest([0, 1]) as pattern_no, split_part(text, ' ', 2) as matched, round(5 / 9.0::double, 6) as share from lines where o_orderkey % 4 = 0
+  union all select o_orderkey || '.pdf', 1, 3, split_part(text, ' ', 2), round(5 / 9.0::double, 6) from lines where o_orderkey % 4 = 2"""
 
 
 def custom_hits(spark, sf_dir):
@@ -193,7 +193,7 @@ def custom_hits(spark, sf_dir):
     return redact.hits_by_file(redact.hits(pages(spark, sf_dir), load_patterns([], r"mail[0-9]+\.example\.(?:com|org)")))
 
 
-CUSTOM_SQL = f"""with {FILES_SQL}, {PAGES_SQL}, found as (select batch_id, path, unnest(regexp_extract_all(text, '(?i)mail[0-9]+\\.example\\.(?:com|org)')) as m from pages)
+CUSTOM_SQL = f"""with {FILES_SQL}, {PAGES_SQL}, found as (select batch_id, path, unnest(regexp_extract_all(text, '(?i)mail[0-9]+\\.example\\.(?:com|org)')) as m from pages where path not like '%.txt')
   select batch_id, path, count(*) as hits from found group by all"""
 
 # Labels -------------------------------------------------------------------------------------------------------------
@@ -319,6 +319,19 @@ DETECT_SQL = f"""{BLOCKS_SQL}, ends as (
 BATES_DETECT_SQL = f"with {DETECT_SQL} select batch_id, path, first_label, last_label from detected"
 
 
+def detect_images(spark, sf_dir):
+    """Labels at the head of a page: found in images, which are read whole; not in PDFs, whose feet are read; never in texts."""
+    text = "concat('Case ', o_custkey, ' Abc ', lpad(cast(o_orderkey as string), 8, '0'), ' Abc ', lpad(cast(o_orderkey + 3 as string), 8, '0'))"
+    kind = "case o_orderkey % 3 when 0 then '.pdf' when 1 then '.PNG' else '.txt' end"
+    blocks = _table(spark, sf_dir, "orders").selectExpr("'b' as batch_id", f"concat('d/', o_orderkey, {kind}) as path", "1 as page_no", "0 as block_no", "0 as block_type", "40.0D as y0", "792.0D as page_height", f"{text} as text")
+    return labels.detect(blocks, blocks.select("batch_id", "path", F.lit(1).alias("page_count")))
+
+
+DETECT_IMAGES_SQL = """select 'b' as batch_id, 'd/' || o_orderkey || case o_orderkey % 3 when 0 then '.pdf' when 1 then '.PNG' else '.txt' end as path,
+  case when o_orderkey % 3 = 1 then 'ABC ' || lpad(o_orderkey::varchar, 8, '0') else '' end as first_label,
+  case when o_orderkey % 3 = 1 then 'ABC ' || lpad(o_orderkey::varchar, 8, '0') else '' end as last_label from orders"""
+
+
 def bates_prepass(spark, sf_dir):
     """How numbering goes on after the labels that are there."""
     return labels.continuation(_detected(spark, sf_dir), "NEW", 1)
@@ -706,6 +719,7 @@ QUERIES = {
     "label_failures": (label_failures, FAILURES_SQL),
     "predicted_ranges": (predicted_ranges, PREDICTED_SQL),
     "bates_detect": (bates_detect, BATES_DETECT_SQL),
+    "detect_images": (detect_images, DETECT_IMAGES_SQL),
     "bates_prepass": (bates_prepass, PREPASS_SQL),
     "gap_fill": (gap_fill, GAP_SQL),
     "index_rows": (index_rows, INDEX_ROWS_SQL),

@@ -38,8 +38,8 @@ def test_paths(spark):
 def test_labels(spark):
     made = spark.range(1).select(L.format_label(F.lit("P"), F.lit(1234567), F.lit(6)).alias("a"), L.format_label(F.lit(""), F.lit(1), F.lit(8)).alias("b")).first()
     assert (made.a, made.b) == ("P 1234567", " 00000001")
-    got = values(spark, L.parse_token, ["TMN 000185", "000185", "x 1", "", None, "A.B 0012345678"])
-    assert [tuple(g) if g else None for g in got] == [("TMN", 185, 6), ("", 185, 6), None, None, None, ("A.B", 12345678, 10)]
+    got = values(spark, L.parse_token, ["QRS 000185", "000185", "x 1", "", None, "A.B 0012345678"])
+    assert [tuple(g) if g else None for g in got] == [("QRS", 185, 6), ("", 185, 6), None, None, None, ("A.B", 12345678, 10)]
     rows = spark.createDataFrame([("A 1", "A 3"), ("A 1", "A 1"), ("", "A 3"), (None, None)], "a string, b string")
     assert [r[0] for r in rows.select(L.bates_range(F.col("a"), F.col("b"))).collect()] == ["A 1 - A 3", "A 1", "A 3", ""]
     assert [tuple(x) for x in values(spark, L.split_range, ["A 1 - A 3", "A 1", ""])] == [("A 1", "A 3"), ("A 1", "A 1"), ("", "")]
@@ -52,7 +52,7 @@ def test_dates(spark):
     got = rows.select(D.date_produced(F.col("d"), F.col("n"), dt.date(2000, 1, 1))).collect()
     assert [g[0] for g in got] == [dt.date(2020, 2, 2), dt.date(2018, 3, 4), dt.date(2000, 1, 1)]
     year = lambda policy: lambda c: D.pick_year(D.year_candidates(D.without_label(c), 1900, 2099), policy)["year"]
-    names = ["invoice_2021.pdf", "Report2021.pdf", "scan_20210105.pdf", "a 2001 b 1999.pdf", "none"]
+    names = ["ledger_2021.pdf", "Report2021.pdf", "scan_20210105.pdf", "a 2001 b 1999.pdf", "none"]
     assert values(spark, year("first"), names) == [2021, None, 2021, 2001, None]
     assert values(spark, year("max"), names)[3] == 2001
     assert values(spark, D.pdf_date_year, ["D:20210105", "2019", "x", None]) == [2021, 2019, None, None]

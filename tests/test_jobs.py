@@ -16,14 +16,14 @@ PAGE = "batch_id string, path string, page_no long, text string"
 
 
 def one_page(spark, *texts):
-    return spark.createDataFrame([("b", f"f{i}", 1, t) for i, t in enumerate(texts)], PAGE)
+    return spark.createDataFrame([("b", f"f{i}.pdf", 1, t) for i, t in enumerate(texts)], PAGE)
 
 
 @pytest.mark.parametrize(
     "text,presets,context,hits",
     [
         ("SSN: 123-45-6789 SSN 222-33-4444\nEIN: 12-3456789\nCard 4111 1111 1111 1111\nDOB: 01/15/1980", ["SSN", "EIN", "Credit Card", "Date of Birth"], True, 7),
-        ("SSN: 123-45-6789\nss# 301-78-4563", ["SSN"], True, 4),
+        ("SSN: 123-45-6789\nss# 411-62-7730", ["SSN"], True, 4),
         ("My number is 123-45-6789 (no label)", ["SSN"], True, 0),
         ("My number is 123-45-6789 (no label)", ["SSN"], False, 2),
         ("Reference 12-3456789 in the contract", ["EIN"], True, 0),
@@ -37,11 +37,11 @@ def test_redaction_cases(spark, text, presets, context, hits):
 
 
 def test_redaction_custom_masks_and_stream(spark, tmp_path):
-    pages = one_page(spark, "Matter SECRET-CODE-42 here", "SSN: 123-45-6789 again 123-45-6789", None, "")
-    found = redact.hits(pages, load_patterns(["SSN"], r"SECRET-CODE-\d+"), keep_last=4)
-    assert found.where("path = 'f0'").count() == 1
+    pages = one_page(spark, "Matter GREEN-FOLDER-7781 here", "SSN: 123-45-6789 again 123-45-6789", None, "")
+    found = redact.hits(pages, load_patterns(["SSN"], r"GREEN-FOLDER-\d+"), keep_last=4)
+    assert found.where("path = 'f0.pdf'").count() == 1
     text = {r.path: r.redacted for r in redact.masked(pages, found).collect()}
-    assert text["f1"] == "SSN: ███████6789 again ███████6789" and text["f2"] is None and text["f3"] == ""
+    assert text["f1.pdf"] == "SSN: ███████6789 again ███████6789" and text["f2.pdf"] is None and text["f3.pdf"] == ""
     pages.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in"))
     scan_stream(stream, load_patterns(["SSN"]), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(120)
@@ -61,17 +61,17 @@ FILES = "batch_id string, ord long, path string, page_count long, is_locked bool
 
 def test_assign(spark):
     files = spark.createDataFrame([("b", 0, "doc2.pdf", 1, False), ("b", 1, "doc1.pdf", 2, False), ("b", 2, "sub/l.pdf", None, True), ("b", 3, "x/__MACOSX/y.pdf", 1, False), ("b", 4, "n.txt", None, False), ("b", 5, "i.png", None, False)], FILES)
-    records, failed = labels.assign(files, "RLG", 1, 6)
-    assert [tuple(r) for r in records.orderBy("first_no").select("path", "first_label", "last_label").collect()] == [("doc1.pdf", "RLG 000001", "RLG 000002"), ("doc2.pdf", "RLG 000003", "RLG 000003"), ("i.pdf", "RLG 000004", "RLG 000004")]
+    records, failed = labels.assign(files, "PLM", 1, 6)
+    assert [tuple(r) for r in records.orderBy("first_no").select("path", "first_label", "last_label").collect()] == [("doc1.pdf", "PLM 000001", "PLM 000002"), ("doc2.pdf", "PLM 000003", "PLM 000003"), ("i.pdf", "PLM 000004", "PLM 000004")]
     assert [r.path for r in failed.collect()] == ["sub/l.pdf"]
     skip = spark.createDataFrame([("b", "doc1.pdf", "OLD 1", "OLD 2")], "batch_id string, path string, first_label string, last_label string")
-    kept = {r.path: r.first_label for r in labels.assign(files, "RLG", 1, 6, skip)[0].collect()}
-    assert kept == {"doc1.pdf": "OLD 1", "doc2.pdf": "RLG 000001", "i.pdf": "RLG 000002"}
+    kept = {r.path: r.first_label for r in labels.assign(files, "PLM", 1, 6, skip)[0].collect()}
+    assert kept == {"doc1.pdf": "OLD 1", "doc2.pdf": "PLM 000001", "i.pdf": "PLM 000002"}
 
 
 def detect(spark, texts, pages=1):
-    blocks = spark.createDataFrame([("b", "f", p, i, 0, 750.0, 792.0, t) for i, (p, t) in enumerate(texts)], "batch_id string, path string, page_no int, block_no int, block_type int, y0 double, page_height double, text string")
-    files = spark.createDataFrame([("b", "f", pages)], "batch_id string, path string, page_count int")
+    blocks = spark.createDataFrame([("b", "f.pdf", p, i, 0, 750.0, 792.0, t) for i, (p, t) in enumerate(texts)], "batch_id string, path string, page_no int, block_no int, block_type int, y0 double, page_height double, text string")
+    files = spark.createDataFrame([("b", "f.pdf", pages)], "batch_id string, path string, page_count int")
     r = labels.detect(blocks, files).first()
     return r.first_label, r.last_label
 
@@ -85,9 +85,9 @@ def test_detect(spark):
 
 def test_fill_gaps(spark):
     files = spark.createDataFrame([("b", "a10.pdf", 1), ("b", "a2.pdf", 3), ("b", "k.pdf", 1), ("b", "z.txt", 1)], "batch_id string, path string, page_count int")
-    records = spark.createDataFrame([("b", 0, "./k.pdf", "TMN 000007", "TMN 000007")], "batch_id string, ord int, path string, first_label string, last_label string")
+    records = spark.createDataFrame([("b", 0, "./k.pdf", "QRS 000007", "QRS 000007")], "batch_id string, ord int, path string, first_label string, last_label string")
     got = {r.path: (r.first_label, r.last_label) for r in labels.fill_gaps(files, records).collect()}
-    assert got == {"k.pdf": ("TMN 000007", "TMN 000007"), "a2.pdf": ("TMN 000008", "TMN 000010"), "a10.pdf": ("TMN 000011", "TMN 000011"), "z.txt": (None, None)}
+    assert got == {"k.pdf": ("QRS 000007", "QRS 000007"), "a2.pdf": ("QRS 000008", "QRS 000010"), "a10.pdf": ("QRS 000011", "QRS 000011"), "z.txt": (None, None)}
     none = labels.infer_numbering(records.withColumn("first_label", F.lit("")).withColumn("last_label", F.lit(""))).first()
     assert (none.prefix, none.digits, none.next_number) == ("", 8, 1)
 
@@ -95,10 +95,10 @@ def test_fill_gaps(spark):
 def test_names_and_years(spark):
     rows = spark.createDataFrame([("b", i, "x", n) for i, n in enumerate(["a.pdf", "a.pdf", "a__1.pdf", "c.pdf", "c.pdf"])], "batch_id string, ord int, folder string, name string")
     assert [r.placed for r in free_names(rows).orderBy("ord").collect()] == ["a.pdf", "a__1.pdf", "a__1__1.pdf", "c.pdf", "c__1.pdf"]
-    files = spark.createDataFrame([("b", 0, "invoice_2021.pdf", None, None), ("b", 1, "noyear.pdf", "D:20190101", None), ("b", 2, "t.pdf", None, None), ("b", 3, "file.pdf", None, None), ("b", 4, "x.txt", None, None)], "batch_id string, ord int, path string, mod_date string, creation_date string")
+    files = spark.createDataFrame([("b", 0, "ledger_2021.pdf", None, None), ("b", 1, "noyear.pdf", "D:20190101", None), ("b", 2, "t.pdf", None, None), ("b", 3, "file.pdf", None, None), ("b", 4, "x.txt", None, None)], "batch_id string, ord int, path string, mod_date string, creation_date string")
     pages = spark.createDataFrame([("b", "t.pdf", 1, "signed 3-4-2015 and 1999")], PAGE)
     got = {r.path: (r.folder, r.method) for r in organize.organized(files, pages).collect()}
-    assert got == {"invoice_2021.pdf": ("2021", "filename"), "noyear.pdf": ("2019", "metadata"), "t.pdf": ("2015", "content"), "file.pdf": ("Unknown", "none"), "x.txt": ("Unknown", "none")}
+    assert got == {"ledger_2021.pdf": ("2021", "filename"), "noyear.pdf": ("2019", "metadata"), "t.pdf": ("2015", "content"), "file.pdf": ("Unknown", "none"), "x.txt": ("Unknown", "none")}
 
 
 def test_index_sources(spark):
@@ -147,3 +147,26 @@ def test_failures_and_delivery(spark):
     assert report.failures_header(report.merged_failures([rows, rows.withColumn("reason", F.lit("later"))])).first().header == '{"a":"y","caf\\u00E9.pdf":"x"}'
     entries = spark.createDataFrame([("b", "x.pdf"), ("b", "_redaction_audit.json"), ("c", "x.txt"), ("d", "x.pdf"), ("d", "y.pdf")], "batch_id string, path string")
     assert {r.batch_id: r.single for r in report.delivery(entries).collect()} == {"b": "x.pdf", "c": None, "d": None}
+
+
+def test_kinds_of_files(spark):
+    text = "mail a@b.example.org"
+    pages = spark.createDataFrame([("b", p, 1, text) for p in ("x.pdf", "x.JPG", "x.txt", "x", "x.tif")], PAGE)
+    assert sorted(r.path for r in redact.hits(pages, load_patterns(["Email"])).collect()) == ["x.JPG", "x.pdf"]
+    # At the head of a page only an image has a label, and one only.
+    rows = [("b", p, 1, 0, 0, 10.0, 792.0, "KLM 000005 KLM 000009") for p in ("h.pdf", "h.png", "h.txt")] + [("b", "g.pdf", 1, 0, 0, 780.0, 792.0, "KLM 000005 KLM 000009")]
+    blocks = spark.createDataFrame(rows, "batch_id string, path string, page_no int, block_no int, block_type int, y0 double, page_height double, text string")
+    files = blocks.selectExpr("batch_id", "path", "1 as page_count")
+    got = {r.path: (r.first_label, r.last_label) for r in labels.detect(blocks, files).collect()}
+    assert got["h.pdf"] == got["h.txt"] == ("", "") and got["h.png"] == ("KLM 000005", "KLM 000005") and got["g.pdf"][0] == "KLM 000005"
+
+
+def test_utc_in_any_zone(spark):
+    from paperloom.functions.dates import iso_utc
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert spark.range(1).select(iso_utc(F.timestamp_seconds("id"))).first()[0] == "1970-01-01T00:00:00Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
