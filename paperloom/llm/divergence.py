@@ -138,8 +138,8 @@ def references(counted: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON) -> DataFrame:
     """``doc_id, lang`` of each row, with the base counts, ``class_distance``, ``common_distance``, ``base_failed`` and ``kept``.
 
-    A row with a null or unlisted language is held against every language, and the nearest counts. A
-    distance is null where the text is shorter than the guard or no reference exists; null does not reject.
+    A distance is null, and does not reject, where the text is shorter than the guard or its language has no reference:
+    rows with a null language have none, languages without a list of common words are judged by characters alone.
     Null and empty texts fail the base rule. Repeated rows each get the same verdict.
     """
     counted = features(docs.select("doc_id", "text", "lang"))
@@ -147,26 +147,20 @@ def judge(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = MAX
     counted = counted.withColumn("low", F.when(F.size("ws") >= MIN_WORDS, low))
     own = reduce(lambda acc, k: F.when(F.col("lang") == k, word_histogram(F.col("low"), k)).otherwise(acc), COMMON, F.lit(None).cast("array<double>"))
     counted = counted.withColumn("common", own)
-    # Without a known language all lists are tried; the histograms are kept as one array of arrays.
-    stranger = F.col("lang").isNull() | ~F.col("lang").isin(*COMMON)
-    counted = counted.withColumn("commons", F.when(stranger & F.col("low").isNotNull(), F.array(*[word_histogram(F.col("low"), k) for k in COMMON])))
     counted = counted.withColumn("judged_classes", F.col("n_chars_all") >= MIN_CHARS).withColumn("judged_common", F.col("common").isNotNull())
     counted = written(counted.drop("ws", "low", "text"), "quality-counts")
     found = {r["lang"]: r for r in references(counted).collect()}  # one row a language
     as_array = lambda v: F.array(*[F.lit(float(x)) for x in v])
     by_lang = {k: distance(F.col("classes"), as_array(r["classes"])) for k, r in found.items()}
-    nearest = F.array_min(F.array(*by_lang.values())) if by_lang else F.lit(None).cast("double")
-    class_distance = reduce(lambda acc, k: F.when(F.col("lang") == k, by_lang[k]).otherwise(acc), by_lang, nearest)
+    none = F.lit(None).cast("double")
+    class_distance = reduce(lambda acc, k: F.when(F.col("lang") == k, by_lang[k]).otherwise(acc), by_lang, none)
     listed = {k: r["common"] for k, r in found.items() if r["common"] and k in COMMON}
-    at = {k: i for i, k in enumerate(COMMON)}
-    tried = [distance(F.get(F.col("commons"), F.lit(at[k])), as_array(v)) for k, v in listed.items()]
-    nearest = F.array_min(F.array(*tried)) if tried else F.lit(None).cast("double")
-    common_distance = reduce(lambda acc, k: F.when(F.col("lang") == k, distance(F.col("common"), as_array(listed[k]))).otherwise(acc), listed, nearest)
+    common_distance = reduce(lambda acc, k: F.when(F.col("lang") == k, distance(F.col("common"), as_array(listed[k]))).otherwise(acc), listed, none)
     out = counted.withColumn("class_distance", F.when(F.col("judged_classes"), class_distance)).withColumn("common_distance", common_distance)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class) & (F.coalesce("common_distance", F.lit(0.0)) <= max_common)
     out = out.withColumn("kept", ~F.col("base_failed") & near)
-    return out.drop("classes", "common", "commons", "judged_classes", "judged_common", "n_chars_all")
+    return out.drop("classes", "common", "judged_classes", "judged_common", "n_chars_all")
 
 
 def op2_divergence(spark, sf_dir: str) -> DataFrame:
