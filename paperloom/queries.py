@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.case_queries import QUERIES as CASES
 from paperloom.functions import labels as L
 from paperloom.functions import paths as P
 from paperloom.functions.matching import without_last_digits
@@ -736,4 +737,4 @@ QUERIES = {
     "stage_elapsed": (stage_elapsed, ELAPSED_SQL),
     "run_report": (run_report, REPORT_SQL),
     "run_summary": (run_summary, SUMMARY_SQL),
-}
+} | CASES
