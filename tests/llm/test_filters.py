@@ -102,3 +102,52 @@ def test_mix(spark, odd, none):
     assert sorted(map(key, rows)) == sorted(map(key, again))
     assert mixing.mix(none).count() == 0 and mixing.repeat_rows(none).count() == 0
     assert mixing.repeat_rows(odd).columns == odd.columns
+
+
+def test_clashing_columns(spark, odd):
+    import corpus_pipeline as cp
+
+    names = ["_host", "_boilerplate", "_kept", "_page", "_family", "_mixed", "_times", "_copy", "_kept_id", "kept_id", "_predicted", "lang_pred", "languages", "n_lines", "n_removed", "_Host"]
+    docs = odd.drop("host", "score")
+    for n in names[:-1]:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    for k, (_, stage) in enumerate(cp.STAGES[:4]):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in names[:-1])
+
+
+def test_divergence_of_languages_without_reference(spark, sf_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'fr'").select("doc_id", "text").limit(60)
+    out = divergence.judge(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "it")))
+    rows = out.collect()
+    assert all(r.common_distance is None for r in rows) and all(r.class_distance is None for r in rows if r.lang is None)
+    assert all(r.kept != r.base_failed for r in rows if r.lang is None)
+
+
+def test_mixture_equals_plain_expectation_maximisation():
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    p = g.dirichlet(np.full(60, 0.2), 4).T + 1e-4
+    p /= p.sum(axis=0)
+    for shares in ([1.0, 0, 0, 0], [0.6, 0.4, 0, 0], [0.3, 0.3, 0.2, 0.2]):
+        counts = g.multinomial(6000, p @ np.array(shares))
+        place = np.flatnonzero(counts)
+        got = language.infer(p, np.tile(place, 2), np.tile(counts[place], 2).astype(float), np.array([0, len(place)]))
+        assert np.allclose(got[0], got[1]) and np.abs(got[0] - shares).max() < 0.06 and ((got[0] > 0) == (np.array(shares) > 0)).all()  # four languages too
+        share, value = language.mixture(p[place], counts[place].astype(float), np.array([0]))
+        plain = np.full(4, 0.25)
+        for _ in range(3000):
+            part = p[place] * plain
+            plain = (part * (counts[place] / part.sum(axis=1))[:, None]).sum(axis=0) / counts.sum()
+        best = (np.log(p[place] @ plain) * counts[place]).sum()
+        assert np.abs(share[0] - plain).max() < 0.02 and best - 5 <= value[0] <= best + 1e-6
+
+
+def test_unknown_languages_score_low(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(1, "Это русский текст о погоде и природе, который никто не учил раньше."), (2, "これは日本語の文章です。天気と自然について。")]
+    rows = language.identify(spark.createDataFrame(texts, "doc_id long, text string"), language.fit(docs)).collect()
+    assert all(r.score < 0.1 for r in rows)

@@ -111,6 +111,27 @@ def test_fm_index():
                 assert hi[e - 1] - lo[e - 1] == len(at) and index.least_owner(lo[e - 1 : e], hi[e - 1 : e])[0] == at[0]
 
 
+def test_statistics_of_text_that_is_not_indexed():
+    r = np.random.default_rng(8)
+    held, text = r.integers(1, 30, 600), r.integers(1, 40, 300)
+    text[50:75], held[::97] = held[110:135], 0
+    index = fm_index.Index(held, np.arange(600) // 50, 13)
+    length, lo, hi = fm_index.matching_statistics(index, text, np.arange(1, 301), 13)
+    for e in range(1, 301):
+        best, at = 0, []
+        for k in range(1, 14):
+            if e < k or (text[e - k : e] == 0).any():
+                break
+            found = [i for i in range(600 - k + 1) if (held[i : i + k] == text[e - k : e]).all()]
+            if not found:
+                break
+            best, at = k, found
+        assert length[e - 1] == best and (not best or hi[e - 1] - lo[e - 1] == len(at))
+        if best:
+            assert index.least_owner(lo[e - 1 : e], hi[e - 1 : e])[0] == at[0] // 50
+    assert (length == 13).any() and (length < 3).any()
+
+
 def removed(rows, n=13):
     seen, out = {}, []
     for r in rows:
