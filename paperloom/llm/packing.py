@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import table, written
+from paperloom.llm.common import fresh, table, written
 from paperloom.llm.tokens import KEPT_PARTS, vocabulary
 
 MAX_TOKENS = 4096
@@ -100,18 +100,20 @@ def pack(cut: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int = MAX_TOKEN
 
     Every piece is in one sequence, gapless from offset 0, within all three capacities.
     """
-    cut = written(cut, "pieces")
+    at, dealt = fresh(cut, "at"), fresh(cut, "dealt")
+    cut = written(cut.withColumn(at, F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "row_no", "piece"), F.lit(groups)))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
+    keys = cut.select(at, "doc_id", "row_no", "piece", "length", F.pmod(F.xxhash64("doc_id", "row_no", "piece"), F.lit(groups)).alias(dealt))
 
     def place(batch: pa.Table) -> pa.Table:
         batch = batch.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row_no", "ascending")])
         seq, off = best_fit(batch["length"].to_numpy(), max_tokens, max_docs, max_cost, weights, choose)
-        first = batch["dealt"][0].as_py() << 32
-        return batch.drop_columns(["dealt"]).append_column("sequence_id", pa.array(first + seq)).append_column("offset", pa.array(off))
+        first = batch[dealt][0].as_py() << 32
+        return pa.Table.from_arrays([batch[at], pa.array(first + seq), pa.array(off)], names=[at, "sequence_id", "offset"])
 
-    return dealt.groupBy("dealt").applyInArrow(place, f"{kind}, sequence_id long, offset long")
+    # Only keys and lengths go to Python; the tokens meet their places by the number their table gave them.
+    placed = keys.groupBy(dealt).applyInArrow(place, f"`{at}` long, sequence_id long, offset long")
+    return cut.join(placed.hint("merge"), at).drop(at)
 
 
 def op9_pack_sequences(spark, sf_dir: str) -> DataFrame:
