@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paperloom.llm import ans, packing, token_files
@@ -79,6 +80,15 @@ def test_packing(spark, odd, none):
     assert packing.pack(packing.pieces(none, WORD)).count() == 0
 
 
+def test_tokens_stay_with_their_piece(spark, odd):
+    cut = packing.pieces(odd, WORD, with_ids=True).withColumn("_at", F.lit("a")).withColumn("_dealt", F.lit("d"))
+    got = packing.pack(cut).collect()  # one group
+    assert all(crc(r.ids) == r.ids_crc32 and (r["_at"], r["_dealt"]) == ("a", "d") for r in got)
+    lengths = np.array(sorted((r.length for r in got), reverse=True))
+    seq, off = packing.best_fit(lengths, 4096, 4096, 4096.0**2)
+    assert sorted((r.length, r.sequence_id, r.offset) for r in got) == sorted(zip(lengths.tolist(), seq.tolist(), off.tolist(), strict=True))
+
+
 @pytest.mark.parametrize("choose", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(choose):
     r = np.random.default_rng(2)
