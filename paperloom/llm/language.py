@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import fresh, table
+from paperloom.llm.common import fresh, give_back, rested, table
+from paperloom.llm.tokens import forget
 
 BUCKETS = 1 << 14
 #: The model is fitted on about so many labelled documents of each language at most, chosen by a hash; whole texts.
@@ -54,6 +55,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     chance = F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.where(chance < F.element_at(part, F.col("lang"))).repartition(16)
 
+    @rested
     def count(batches):
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -174,9 +176,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     @F.arrow_udf("struct<lang_pred:string,score:double,languages:string>")
     def predicted(texts: pa.Array) -> pa.Array:
+        forget()
         found = []
         for a in range(0, len(texts), 128):  # the inference holds so many documents at a time
             found += answer(texts.slice(a, 128).to_pylist())
+        give_back()
         parts = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string()))]
         return pa.StructArray.from_arrays(parts, names=["lang_pred", "score", "languages"])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import discard, joined_small, partitions, table, written
+from paperloom.llm.common import discard, give_back, joined_small, partitions, rested, table, written
 from paperloom.llm.components import components
 from paperloom.llm.wordhash import mixed, shingle_set
 
@@ -55,6 +55,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, set_hash, sig`` of each row; an empty set has null for the last two."""
     kind = "doc_id long, n_shingles long, set_hash binary, sig binary"
 
+    @rested
     def sign(batches):
         for batch in batches:
             n, sets, sigs = [], [], []
@@ -80,6 +81,7 @@ def _sigs(column) -> np.ndarray:
 def hot_keys(reps: DataFrame, hot: int = HOT) -> DataFrame:
     """Keys of more than ``hot`` representatives; at most COORDINATES / hot times as many as those."""
 
+    @rested
     def keys(batches):
         for batch in batches:
             if batch.num_rows:
@@ -100,6 +102,7 @@ def postings(reps: DataFrame, hot: DataFrame, most_hot: int = 500_000) -> DataFr
     if hot.limit(most_hot + 1).count() <= most_hot:
         known = reps.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot.collect()], np.int64)))  # 4 MB at most
 
+        @rested
         def post(batches):
             for batch in batches:
                 if not batch.num_rows:
@@ -115,6 +118,7 @@ def postings(reps: DataFrame, hot: DataFrame, most_hot: int = 500_000) -> DataFr
 
         return reps.select("doc_id", "sig").mapInArrow(post, "key long, is_hot boolean, doc_id long, low binary")
 
+    @rested
     def every(batches):
         for batch in batches:
             if batch.num_rows:
@@ -130,6 +134,7 @@ def postings(reps: DataFrame, hot: DataFrame, most_hot: int = 500_000) -> DataFr
 def merged(rare: DataFrame) -> DataFrame:
     """Links (a, b) between documents of a list that agree in MATCHES coordinates: a forest of each list."""
 
+    @rested
     def merge(batches):
         held = None
 
@@ -223,6 +228,9 @@ def confirmed(texts: DataFrame) -> DataFrame:
             np.minimum.at(least, root, ids)
             grouped = np.bincount(root)[root] > 1
             out = sorted(set(zip(ids[grouped].tolist(), least[root[grouped]].tolist(), strict=True)))
+        if len(flat) >= BLOCK_SHINGLES // 2:
+            del flat, mark
+            give_back()
         return pa.Table.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return texts.groupBy("cluster", "x", "y").applyInArrow(compare, "a long, b long")

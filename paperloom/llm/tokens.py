@@ -107,6 +107,11 @@ class Vocabulary:
 _loaded: dict[tuple, Vocabulary] = {}
 
 
+def forget() -> None:
+    """Let go of this worker's vocabulary, when other work begins."""
+    _loaded.clear()
+
+
 def vocabulary(path: str, most: int = KEPT_PARTS) -> Vocabulary:
     """This worker's vocabulary for a file, kept with what it has learned between tasks."""
     if (path, most) not in _loaded:
