@@ -350,16 +350,15 @@ select d.batch_id, count(*) filter (where first_label <> '') as n_labeled, any_v
 from detected d left join main using (batch_id) group by d.batch_id"""
 
 
-def _sidecar(spark, sf_dir) -> DataFrame:
-    """A sidecar of the derived files whose document is no multiple of three of its batch: numbers of documents."""
-    rows = files(spark, sf_dir).where("doc_id % 4 <> 0")
+def _records(rows: DataFrame) -> DataFrame:
+    """Label records of derived files: numbers of documents."""
     no = F.col("doc_id") * 3 + 1
     return rows.select("batch_id", "ord", "path", L.format_label(F.lit("OLD"), no, F.lit(7)).alias("first_label"), L.format_label(F.lit("OLD"), no + 1, F.lit(7)).alias("last_label"))
 
 
 def gap_fill(spark, sf_dir):
-    """Files without a record get the next numbers, in natural order of their paths."""
-    return labels.fill_gaps(files(spark, sf_dir), _sidecar(spark, sf_dir)).select("batch_id", "path", "pages", "first_label", "last_label")
+    """Files without a record, every fourth document, get the next numbers, in natural order of their paths."""
+    return labels.fill_gaps(files(spark, sf_dir), _records(files(spark, sf_dir).where("doc_id % 4 <> 0"))).select("batch_id", "path", "pages", "first_label", "last_label")
 
 
 GAP_SQL = f"""with {FILES_SQL}, m as (
@@ -665,28 +664,28 @@ DELIVERY_SQL = """select 'c' || o_custkey as batch_id, count(*) as files, case w
 
 
 def failure_headers(spark, sf_dir):
-    """Failures of two stages, each file's first reason, as JSON."""
-    rows = _table(spark, sf_dir, "orders").selectExpr("concat('c', o_custkey % 50) as batch_id", "concat('p', o_orderkey % 40) as path", "o_orderpriority as reason", "o_orderkey")
-    return report.failures_header(report.merged_failures([rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 3 = 0")]))
+    """Failures of two stages over all orders, each file's first reason, as JSON; a batch is a customer, a file its orders of a month."""
+    path = "concat('p', date_format(o_orderdate, 'yyyyMM')) as path"
+    rows = _table(spark, sf_dir, "orders").selectExpr("concat('c', o_custkey) as batch_id", path, "o_orderpriority as reason", "o_orderstatus = 'F' as early")
+    return report.failures_header(report.merged_failures([rows.where("early"), rows.where("not early")]))
 
 
-HEADERS_SQL = """with r as (select 'c' || (o_custkey % 50) as b, 'p' || (o_orderkey % 40) as p, o_orderpriority as why, o_orderkey % 2 as k from orders where o_orderkey % 2 = 0
-  union all select 'c' || (o_custkey % 50), 'p' || (o_orderkey % 40), o_orderpriority, 2 from orders where o_orderkey % 3 = 0),
+HEADERS_SQL = """with r as (select 'c' || o_custkey as b, 'p' || strftime(o_orderdate, '%Y%m') as p, o_orderpriority as why, case when o_orderstatus = 'F' then 0 else 1 end as k from orders),
 one as (select b, p, why from r qualify row_number() over (partition by b, p order by k, why) = 1)
 select b as batch_id, '{' || string_agg('"' || p || '":"' || why || '"', ',' order by p) || '}' as header from one group by b"""
 
 
 def sidecar_round_trip(spark, sf_dir):
-    """Records written as a sidecar and read from it."""
+    """Records of all files written as sidecars, one a batch of 1000 documents, and read from them."""
     from paperloom.sources import intake, results
 
-    records = _sidecar(spark, sf_dir).select("batch_id", "ord", "path", "first_label", "last_label")
+    records = _records(files(spark, sf_dir)).withColumn("batch_id", F.expr("concat('b', ord div 1000)"))
     members = results.sidecar_json(records).select("batch_id", F.lit(0).alias("ord"), F.lit("./" + P.SIDECARS[0]).alias("path"), "content")
     return intake.sidecar_records(members).select("batch_id", "ord", "path", "first_label", "last_label")
 
 
-SIDECAR_SQL = f"""with {FILES_SQL} select batch_id, (row_number() over (partition by batch_id order by ord) - 1)::int as ord, path,
-  'OLD ' || lpad((doc_id * 3 + 1)::varchar, 7, '0') as first_label, 'OLD ' || lpad((doc_id * 3 + 2)::varchar, 7, '0') as last_label from files where doc_id % 4 <> 0"""
+SIDECAR_SQL = f"""with {FILES_SQL} select 'b' || (doc_id // 1000) as batch_id, (row_number() over (partition by doc_id // 1000 order by ord) - 1)::int as ord, path,
+  'OLD ' || lpad((doc_id * 3 + 1)::varchar, 7, '0') as first_label, 'OLD ' || lpad((doc_id * 3 + 2)::varchar, 7, '0') as last_label from files"""
 
 
 def report_texts(spark, sf_dir):

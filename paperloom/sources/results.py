@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def sidecar_json(records: DataFrame) -> DataFrame:
-    """(batch_id, content): a batch's label records (batch_id, ord, ...) as one JSON list in order."""
+    """(batch_id, content): a batch's label records (batch_id, ord, ...) as one JSON list in order.
+
+    A batch is one row: at about 100 bytes a record, some millions of records. ``write_json`` has no such bound.
+    """
     fields = [c for c in records.columns if c not in ("batch_id", "ord")]
     ordered = F.sort_array(F.collect_list(F.struct("ord", F.struct(*fields).alias("r"))))
     return records.groupBy("batch_id").agg(F.to_json(F.transform(ordered, lambda x: x["r"])).alias("content"))
