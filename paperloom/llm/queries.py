@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import divergence, language, line_dedup, mixing, near_dedup, packing, substring_dedup, token_files, topk, warc
+from paperloom.llm import decontaminate, divergence, language, line_dedup, mixing, near_dedup, packing, substring_dedup, token_files, topk, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_pack_sequences": packing.op9_pack_sequences,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op5_top_k": topk.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_decontaminate": decontaminate.OP11_SQL,
 }
