@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import collocations, decontaminate, divergence, language, line_dedup, mixing, near_dedup, packing, substring_dedup, token_files, topk, warc
+from paperloom.llm import collocations, conversations, decontaminate, divergence, language, line_dedup, mixing, near_dedup, packing, substring_dedup, token_files, topk, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pack_sequences": packing.op9_pack_sequences,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_conversations": conversations.op12_conversations,
     "op13_collocations": collocations.op13_collocations,
 }
 
@@ -28,5 +29,6 @@ SQL = {
     "op7_warc": warc.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op11_decontaminate": decontaminate.OP11_SQL,
+    "op12_conversations": conversations.OP12_SQL,
     "op13_collocations": collocations.OP13_SQL,
 }
