@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,24 +12,48 @@ from pyspark.sql import functions as F
 MATCHES = "array<struct<start:int,end:int,text:string>>"
 
 
+#: Matches whose places are added up in one go.
+CHUNK = 64
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body has it, inside of lambdas as well."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) of a pattern's matches from left to right; places count characters from 0.
 
-    ``pattern`` is in Java's dialect and must not match the empty string. Null text has no matches.
+    ``pattern`` is in Java's dialect and must not match the empty string. Null text has no matches. Places are sums of the
+    lengths before, over chunks of matches and then inside each, so the work does not grow with their square.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     pairs = F.arrays_zip(matches.alias("m"), gaps.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out"))
+    grown = lambda at, out, kind: F.struct(at.cast("int").alias("at"), out.cast(kind).alias("out"))
+
+    def base(acc, chunk):
+        length = F.aggregate(chunk, F.lit(0), lambda n, p: n + p["g"] + F.coalesce(F.char_length(p["m"]), F.lit(0)))
+        return grown(acc["at"] + length, F.array_append(acc["out"], acc["at"]), "array<int>")
 
     def step(acc, p):
         a = acc["at"] + p["g"]
         b = a + F.char_length(p["m"])
         one = F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), p["m"].alias("text"))
-        return F.when(p["m"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.array_append(acc["out"], one).alias("out")))
+        return F.when(p["m"].isNull(), acc).otherwise(grown(b, F.array_append(acc["out"], one), MATCHES))
 
+    def placed(chunk, at):
+        return F.aggregate(chunk, grown(at, F.array(), MATCHES), step, lambda acc: acc["out"])
+
+    def chunks(p):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda c: F.slice(p, c * CHUNK + 1, F.lit(CHUNK)))
+
+    def located(parts):
+        bases = F.aggregate(parts, grown(F.lit(0), F.array(), "array<int>"), base, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(parts, bases, placed))
+
+    found = let(pairs, lambda p: let(chunks(p), located))
     # Without a match nothing is split.
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
     return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), found).otherwise(F.array().cast(MATCHES))
 
 
@@ -48,6 +73,22 @@ def find_all_custom(pattern: str, case_sensitive: bool = False):
     return found
 
 
+def whole_words_custom(pattern: str, case_sensitive: bool = False):
+    """A pandas function: the places, from 0, of the words of an array that a pattern in Python's dialect matches as a whole."""
+    import re
+
+    flags = 0 if case_sensitive else re.IGNORECASE
+    re.compile(pattern, flags)
+
+    @F.pandas_udf("array<int>")
+    def found(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compiled = re.compile(pattern, flags)
+        for batch in lists:
+            yield batch.map(lambda ws: [i for i, w in enumerate(ws) if w and compiled.fullmatch(w)] if ws is not None else [])
+
+    return found
+
+
 def near(text: Column, start: Column, end: Column, context: str, reach: int = 60) -> Column:
     """Whether a context pattern occurs within ``reach`` characters of a match."""
     a = F.greatest(start - reach, F.lit(0))
@@ -75,6 +116,47 @@ def search_variants(text: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["x"])
 
 
-def quoted(literal: Column) -> Column:
-    """A literal as a pattern that matches it alone."""
-    return F.concat(F.lit(r"\Q"), F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+def covered(text: Column, literals: Column) -> Column:
+    """A text with the literals of an array covered; ``literals`` is an array of arrays of spellings.
+
+    Of each literal's spellings the first one that is in the text is covered wherever it is. One pass over the text finds all
+    places of all spellings; places may overlap. The case of letters is ignored, for those whose other case is one character.
+    """
+
+    def cover(text, literals):
+        search = ahocorasick.Automaton()
+        keys = [[fold(s) for s in spellings if s] for spellings in literals]
+        for key in {k for spellings in keys for k in spellings}:
+            search.add_word(key, key)
+        places: dict[str, list[int]] = {}
+        if len(search):
+            search.make_automaton()
+            for end, key in search.iter(fold(text)):
+                places.setdefault(key, []).append(end + 1)
+        edge: dict[int, int] = {}
+        for key in {next((k for k in spellings if k in places), None) for spellings in keys} - {None}:
+            for end in places[key]:
+                edge[end - len(key)] = edge.get(end - len(key), 0) + 1
+                edge[end] = edge.get(end, 0) - 1
+        out, at, depth = [], 0, 0
+        for place in sorted(edge):
+            out.append("\u2588" * (place - at) if depth else text[at:place])
+            at, depth = place, depth + edge[place]
+        return "".join(out) + text[at:]
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, lists in batches:
+            yield pd.Series([t if t is None or x is None else cover(t, x) for t, x in zip(texts, lists, strict=True)], dtype=object)
+
+    return run(text, literals)
+
+
+def fold(text: str) -> str:
+    """Lower case, character by character, so that places stay."""
+    return "".join(k if len(k := c.lower()) == 1 else c for c in text)
+
+
+def loose(context: str) -> str:
+    """What must be in a text for a context pattern to match any part of it."""
+    return context.replace(r"\b", "").replace(r"(?!\w)", "")

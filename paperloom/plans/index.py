@@ -12,6 +12,7 @@ from paperloom.functions import labels as L
 from paperloom.functions import paths as P
 from paperloom.operators.numbering import running_before
 from paperloom.operators.picks import lookup, lookup_table
+from paperloom.operators.storage import joined_small, written
 
 LABELS = ["first_label", "last_label"]
 # The sheet's header and the name of the group without one.
@@ -52,8 +53,9 @@ def index_rows(files: DataFrame, records: DataFrame | None = None, meta: DataFra
     sources = [(n, t) for n, t in ((1, records), (2, meta), (3, detected)) if t is not None]
     out = rows
     for n, table in sources:
-        there = table.select("batch_id").distinct().withColumn(f"_has{n}", F.lit(True))
-        out = out.join(there.hint("merge"), "batch_id", "left")
+        # One row a batch: sent to all tasks while batches are few, so that a large batch is not one task's.
+        there = written(table.select("batch_id").distinct().withColumn(f"_has{n}", F.lit(True)), "batches")
+        out = joined_small(out, there, ["batch_id"], "left")
         if n == 3:
             side = table.select("batch_id", "path", F.col("first_label").alias("f3"), F.col("last_label").alias("l3"))
             out = out.join(side.hint("merge"), ["batch_id", "path"], "left")
@@ -72,18 +74,20 @@ def sheet(rows: DataFrame) -> DataFrame:
     The header is row 3. Per category, in order: its own row, its documents by name, a blank row. Row numbers come from
     counts: files of a category by prefix sums over ranges, categories of a batch in a window.
     """
+    rows = written(rows, "index")  # read for the ranges, the groups and the header
     named = running_before(rows.withColumn("_one", F.lit(1)), "_one", ["filename", "ord"], ["batch_id", "category"]).withColumn("_at", F.col("before") + 1)
     groups = rows.groupBy("batch_id", "category").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("batch_id").orderBy("category").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     groups = groups.withColumn("_head", F.sum(F.col("_n") + 2).over(before) - F.col("_n") - 2 + FIRST_ROW)
-    docs = named.join(groups.hint("merge"), ["batch_id", "category"]).select(
+    groups = written(groups, "categories")
+    docs = joined_small(named, groups, ["batch_id", "category"], "inner").select(
         "batch_id", (F.col("_head") + F.col("_at")).alias("row_no"), F.lit("document").alias("row_type"), F.col("date_produced").cast("string").alias("date_text"), F.col("filename").alias("text"), F.col("bates_range").alias("bates")
     )
     blank = F.lit("")
     title = F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit(NO_CATEGORY))
     heads = groups.select("batch_id", F.col("_head").alias("row_no"), F.lit("category").alias("row_type"), blank.alias("date_text"), title.alias("text"), blank.alias("bates"))
     ends = groups.select("batch_id", (F.col("_head") + F.col("_n") + 1).alias("row_no"), F.lit("blank").alias("row_type"), blank.alias("date_text"), blank.alias("text"), blank.alias("bates"))
-    top = rows.select("batch_id").distinct().select("batch_id", F.lit(FIRST_ROW - 1).cast("long").alias("row_no"), F.lit("header").alias("row_type"), *[F.lit(h).alias(c) for h, c in zip(HEADER, ("date_text", "text", "bates"), strict=True)])
+    top = groups.select("batch_id").distinct().select("batch_id", F.lit(FIRST_ROW - 1).cast("long").alias("row_no"), F.lit("header").alias("row_type"), *[F.lit(h).alias(c) for h, c in zip(HEADER, ("date_text", "text", "bates"), strict=True)])
     return docs.unionByName(heads).unionByName(ends).unionByName(top)
 
 

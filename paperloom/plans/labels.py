@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from paperloom.functions import labels as L
 from paperloom.functions import paths as P
 from paperloom.functions.matching import find_all
-from paperloom.operators.numbering import numbered, running_before
+from paperloom.operators.numbering import greatest_before, numbered, running_before
 from paperloom.operators.picks import last_by, mode
+from paperloom.operators.storage import joined_small, written
 
 #: Share of a page's height, at its foot, where labels stand.
 MARGIN = 0.12
 FILE = ["batch_id", "path"]
+# Fixed value: the reason given for a locked file.
+LOCKED = "Password-protected — run Unlock first"
 
 
 def margin_blocks(blocks: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -83,25 +86,40 @@ def continuation(found: DataFrame, user_prefix: str, user_start: int) -> DataFra
     return out.select("batch_id", n.cast("long").alias("n_labeled"), F.when(n == 0, F.lit(user_prefix)).otherwise(F.coalesce("prefix", F.lit(""))).alias("prefix"), F.when(F.col("top") > 0, F.col("top") + 1).otherwise(F.lit(user_start)).cast("long").alias("start"))
 
 
-def assign(files: DataFrame, prefix: str = "", start: int = 1, digits: int = 8, skip: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, failures) of labeling a batch in walk order.
-
-    ``files``: batch_id, ord, path, page_count, is_locked; of rows with one path the last counts. Junk and kinds other
-    than PDF and JPEG or PNG images vanish; locked PDFs fail and take no number; images take one. Files in ``skip``
-    (batch_id, path, first_label, last_label) keep their labels and take none.
-    """
+def _taken(files: DataFrame, prefix: str, start: int, digits: int, skip: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Files of a batch in walk order with the numbers each takes, and the locked ones, which take none."""
     rows = last_by(files.withColumn("path", P.norm_key(F.col("path"))), FILE, "ord").where(~P.is_junk(F.col("path")))
     rows = rows.withColumn("_ext", P.ext(F.col("path"))).where(F.col("_ext").isin(*P.PDF, *P.LABEL_IMAGES))
-    locked = F.coalesce(F.col("is_locked"), F.lit(False)) & F.col("_ext").isin(*P.PDF)
-    failures = rows.where(locked).select(*FILE, F.lit("labels").alias("stage"), F.lit("Password-protected — run Unlock first").alias("reason"))
-    rows = rows.where(~locked)
+    pdf = F.col("_ext").isin(*P.PDF)
+    locked = F.coalesce(F.col("is_locked"), F.lit(False)) & pdf
+    closed, rows = rows.where(locked), rows.where(~locked)
     if skip is None:
         rows = rows.withColumn("_f", F.lit(None).cast("string")).withColumn("_l", F.lit(None).cast("string"))
     else:
         rows = rows.join(skip.select(*FILE, F.col("first_label").alias("_f"), F.col("last_label").alias("_l")).hint("merge"), FILE, "left")
-    pages = F.when(F.col("_ext").isin(*P.PDF), F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1))).otherwise(1).cast("long")
-    rows = rows.withColumn("pages", pages).withColumn("_take", F.when(F.col("_f").isNull(), F.col("pages")).otherwise(0)).withColumn("_walk", P.walk_key(F.col("path")))
-    out = numbered(rows, "_take", ["_walk", "path"], F.lit(start), F.lit(prefix), F.lit(digits))
+    pages = F.when(pdf, F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1))).otherwise(1).cast("long")
+    failed = F.col("failed_after").isNotNull() if "failed_after" in files.columns else F.lit(False)
+    burnt = F.when(pdf, F.least(F.greatest(F.col("failed_after"), F.lit(0)), F.col("pages"))).otherwise(0) if "failed_after" in files.columns else F.lit(0)
+    rows = rows.withColumn("pages", pages).withColumn("_failed", failed).withColumn("_walk", P.walk_key(F.col("path")))
+    take = F.when(F.col("_f").isNotNull(), 0).when(F.col("_failed"), burnt).otherwise(F.col("pages"))
+    return numbered(rows.withColumn("_take", take.cast("long")), "_take", ["_walk", "path"], F.lit(start), F.lit(prefix), F.lit(digits)), closed
+
+
+def assign(files: DataFrame, prefix: str = "", start: int = 1, digits: int = 8, skip: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, failures) of labeling a batch in walk order.
+
+    ``files``: batch_id, ord, path, page_count, is_locked; of rows with one path the last counts. Junk and kinds other
+    than PDF and JPEG or PNG images vanish; locked PDFs fail and take no number; images take one. Files in ``skip``
+    (batch_id, path, first_label, last_label) keep their labels and take none. Where ``files`` has ``failed_after`` and ``error``, a file
+    with a number there broke after so many of its pages: it has no record, and the numbers of those pages are gone.
+    """
+    out, closed = _taken(files, prefix, start, digits, skip)
+    failures = closed.select(*FILE, F.lit("labels").alias("stage"), F.lit(LOCKED).alias("reason"))
+    if "failed_after" in files.columns:
+        what = F.when(F.col("_f").isNull(), "Failed to label ").otherwise("Failed to preserve ")
+        kind = F.when(F.col("_ext").isin(*P.PDF), "PDF: ").otherwise("image: ")
+        broken = out.where("_failed").select(*FILE, F.lit("labels").alias("stage"), F.concat(what, kind, F.coalesce("error", F.lit("Exception"))).alias("reason"))
+        failures, out = failures.unionByName(broken), out.where(~F.col("_failed"))
     fresh = F.col("_f").isNull()
     name = F.when(fresh & ~F.col("_ext").isin(*P.PDF), P.to_pdf_name(F.col("path"))).otherwise(F.col("path"))
     records = out.select(
@@ -112,6 +130,42 @@ def assign(files: DataFrame, prefix: str = "", start: int = 1, digits: int = 8,
     return records, failures
 
 
+def ledger(files: DataFrame, prefix: str = "", start: int = 1, digits: int = 8, skip: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(intervals, totals): where all numbers of a batch went, for the same arguments as ``assign``.
+
+    intervals: batch_id, path, kind, prefix, first_no, last_no, overlaps. ``kind`` is ``used``, ``burnt`` (given to pages of a file that
+    broke later) or ``preserved`` (labels that a file had; those that are no label with a number are left out). ``overlaps`` tells an interval that has a
+    number in common with an earlier one of its prefix; of equal starts the first by end, then path, is the earlier.
+    totals: batch_id, used, burnt, preserved (files), last_used, the last number that was given; start - 1 if none was.
+    """
+    out, _ = _taken(files, prefix, start, digits, skip)
+    out = written(out.select(*FILE, "_take", "_failed", "_f", "_l", "first_no", "last_no"), "taken")
+    given = out.where("_take > 0").select(*FILE, F.when(F.col("_failed"), "burnt").otherwise("used").alias("kind"), F.lit(prefix).alias("prefix"), "first_no", "last_no")
+    a, b = L.parse_token(F.col("_f")), L.parse_token(F.coalesce(F.nullif(F.col("_l"), F.lit("")), F.col("_f")))
+    kept = out.where("_f is not null and not _failed").select(*FILE, F.lit("preserved").alias("kind"), a.alias("a"), b.alias("b")).where("a is not null")
+    low, high = F.least("a.number", "b.number"), F.greatest("a.number", "b.number")
+    rows = given.unionByName(kept.select(*FILE, "kind", F.col("a.prefix").alias("prefix"), low.alias("first_no"), high.alias("last_no")))
+    rows = greatest_before(rows, "last_no", ["first_no", "last_no", "path"], ["batch_id", "prefix"], "_top")
+    intervals = rows.select(*FILE, "kind", "prefix", "first_no", "last_no", F.coalesce(F.col("first_no") <= F.col("_top"), F.lit(False)).alias("overlaps"))
+    number = lambda c: F.coalesce(F.sum(F.when(c, F.col("_take"))), F.lit(0))
+    totals = out.groupBy("batch_id").agg(
+        number(~F.col("_failed")).alias("used"), number(F.col("_failed")).alias("burnt"), F.count_if(F.col("_f").isNotNull() & ~F.col("_failed")).alias("preserved"),
+        (F.lit(start - 1) + F.sum("_take")).cast("long").alias("last_used"),
+    )
+    return intervals, totals
+
+
+def islands(intervals: DataFrame) -> DataFrame:
+    """(batch_id, prefix, first_no, last_no, files, overlaps, missing): runs of numbers without a gap, and how many numbers are missing before each."""
+    by, order = ["batch_id", "prefix"], ["first_no", "last_no", "path"]
+    rows = greatest_before(intervals, "last_no", order, by, "_top")
+    rows = rows.withColumn("_new", F.coalesce(F.col("first_no") > F.col("_top") + 1, F.lit(True)).cast("int"))
+    rows = running_before(rows, "_new", order, by, "_runs").withColumn("_run", F.col("_runs") + F.col("_new"))
+    missing = F.max(F.when(F.col("_new") == 1, F.col("first_no") - F.col("_top") - 1))
+    out = rows.groupBy(*by, "_run").agg(F.min("first_no").alias("first_no"), F.max("last_no").alias("last_no"), F.count(F.lit(1)).alias("files"), F.count_if("overlaps").alias("overlaps"), F.coalesce(missing, F.lit(0)).alias("missing"))
+    return out.drop("_run")
+
+
 def page_labels(records: DataFrame, prefix: str, digits: int) -> DataFrame:
     """One row a page of freshly labeled files."""
     rows = records.where("first_no is not null").select(*FILE, "first_no", F.explode(F.sequence("first_no", "last_no")).alias("number"))
@@ -154,7 +208,8 @@ def fill_gaps(files: DataFrame, records: DataFrame) -> DataFrame:
     loose = F.col("_f").isNull() & F.col("_ext").isin(*P.PDF, *P.OCR_IMAGES)
     pages = F.when(F.col("_ext").isin(*P.PDF), F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1))).otherwise(1).cast("long")
     rows = rows.withColumn("pages", pages).withColumn("_loose", loose).withColumn("_take", F.when(loose, pages).otherwise(0)).withColumn("_nat", P.natural_key(F.col("path")))
-    rows = running_before(rows, "_take", ["_nat", "path"], ["batch_id"]).join(rules.hint("merge"), "batch_id", "left")
+    # One row a batch: sent to all tasks while batches are few, so that a large batch is not one task's.
+    rows = joined_small(running_before(rows, "_take", ["_nat", "path"], ["batch_id"]), written(rules, "rules"), ["batch_id"], "left")
     number = F.coalesce("next_number", F.lit(1)) + F.col("before")
     label = lambda n: L.format_label(F.coalesce("prefix", F.lit("")), n, F.coalesce("digits", F.lit(8)))
     image = F.col("_ext").isin(*P.OCR_IMAGES)

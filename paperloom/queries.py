@@ -16,6 +16,7 @@ from paperloom.functions import labels as L
 from paperloom.functions import paths as P
 from paperloom.functions.matching import without_last_digits
 from paperloom.functions.patterns import load_patterns
+from paperloom.page_queries import QUERIES as PAGES
 from paperloom.plans import index, labels, organize, redact, report, scan
 
 PAGE = 3000
@@ -736,4 +737,4 @@ QUERIES = {
     "stage_elapsed": (stage_elapsed, ELAPSED_SQL),
     "run_report": (run_report, REPORT_SQL),
     "run_summary": (run_summary, SUMMARY_SQL),
-} | CASES
+} | CASES | PAGES

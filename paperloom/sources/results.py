@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,29 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_json_array(rows: DataFrame, path: str, place: str = "place", batches: DataFrame | None = None) -> None:
+    """One JSON array a batch, of the rows in the order of ``place`` (from 0 without gaps in each batch), over as many files as there are ranges.
+
+    A batch's folder holds text files; one after the other, by name, they are its array, an entry a line. Entries have all columns but
+    batch_id and ``place``. Batches of ``batches`` without rows get an empty array.
+    """
+    entry = F.to_json(F.struct(*[c for c in rows.columns if c not in ("batch_id", place)]), {"ignoreNullFields": "false"})
+    lines = rows.select("batch_id", F.col(place).cast("long").alias("_at"), F.concat(F.when(F.col(place) > 0, ",").otherwise(""), entry).alias("value"))
+    counted = lines.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
+    if batches is not None:
+        counted = batches.select("batch_id").distinct().join(counted.hint("merge"), "batch_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    ends = counted.select("batch_id", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("_at"), F.lit("[").alias("value")), F.struct(F.col("_n").alias("_at"), F.lit("]").alias("value")))).alias("e"))
+    lines = lines.unionByName(ends.select("batch_id", "e.*"))
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(width, "batch_id", "_at").sortWithinPartitions("batch_id", "_at").drop("_at").write.mode("overwrite").partitionBy("batch_id").text(path)
+
+
+def read_json_array(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(batch_id, and the fields of ``kind``) of arrays that ``write_json_array`` wrote; order is not kept."""
+    lines = spark.read.schema("value string, batch_id string").text(path).where("value not in ('[', ']')")
+    return lines.select("batch_id", F.from_json(F.ltrim(F.col("value"), F.lit(",")), kind).alias("e")).select("batch_id", "e.*")
+
+
 def write_by_folder(rows: DataFrame, path: str, folder: str = "folder") -> None:
     """Rows below a folder for each value, as organized files are."""
     rows.write.mode("overwrite").partitionBy(folder).parquet(path)
