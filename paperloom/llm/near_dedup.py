@@ -35,6 +35,8 @@ MATCHES = 12
 HOT = 256
 #: Shingles of a block on average; a cell holds two blocks.
 BLOCK_SHINGLES = 150_000
+#: Documents of a cell above which they meet by their rarest shingles only.
+MANY = 1000
 #: Rows of a written table that may be broadcast, at most 40 bytes each.
 FEW = 60_000
 
@@ -182,6 +184,39 @@ def merged(rare: DataFrame) -> DataFrame:
     return dealt.mapInArrow(merge, "a long, b long")
 
 
+def by_rarest(flat: np.ndarray, start: np.ndarray, size: np.ndarray):
+    """A function from a document of a cell to those that can be similar to it, from the cell's numbered shingles.
+
+    Similar sets have one of their rarest shingles in common: so many that without them too few are left. Where the first of these
+    stands in both also bounds what they can have in common. No similar document is missed.
+    """
+    count = np.bincount(flat)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    of = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((rank[flat], of))
+    place = np.arange(len(flat)) - np.repeat(start, size)
+    first = place < np.repeat(size - -(-size * PERCENT // 100) + 1, size)
+    key, doc, at = rank[flat[order]][first], of[first], place[first]
+    own = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(size)))])
+    by_key = np.argsort(key, kind="stable")
+    lists = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=len(count)))])
+    doc_of, at_of = doc[by_key], at[by_key]
+
+    def near(i: int) -> np.ndarray:
+        mine = key[own[i] : own[i + 1]]
+        low, high = lists[mine], lists[mine + 1]
+        if (high - low).sum() == len(mine):
+            return np.zeros(0, np.int64)
+        rows = np.concatenate([np.arange(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True) if b - a > 1])
+        here = np.repeat(np.arange(len(mine)), np.where(high - low > 1, high - low, 0))
+        other, head = np.unique(doc_of[rows], return_index=True)  # the first place of each
+        most = 1 + np.minimum(size[i] - here[head] - 1, size[other] - at_of[rows[head]] - 1)
+        return other[most * (100 + PERCENT) >= PERCENT * (size[i] + size[other])]
+
+    return near
+
+
 def confirmed(texts: DataFrame) -> DataFrame:
     """Links (a, b) confirmed on full sets, from ``cluster, x, y, side, known, doc_id, text`` rows.
 
@@ -205,7 +240,21 @@ def confirmed(texts: DataFrame) -> DataFrame:
         known = t["known"].to_numpy()
         _, root = np.unique(known, return_inverse=True)
         out = []
+        candidates = by_rarest(flat, start, size) if len(ids) > MANY else None
         for i in np.flatnonzero(side) if two else range(len(ids)):
+            if candidates:
+                rest = candidates(i)
+                rest = rest[(~side[rest] if two else rest > i) & (root[rest] != root[i])]
+                if len(rest):
+                    mine = flat[start[i] : start[i] + size[i]]
+                    mark[mine] = 1
+                    for j in rest:
+                        both = int(mark[flat[start[j] : start[j] + size[j]]].sum())
+                        if root[j] != root[i] and 100 * both >= PERCENT * (size[j] + size[i] - both):
+                            out.append((known[i], known[j]))
+                            root[root == root[j]] = root[i]
+                    mark[mine] = 0
+                continue
             other = root != root[i]
             other &= ~side if two else np.arange(len(ids)) > i
             other &= 100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])

@@ -63,6 +63,22 @@ def test_near_duplicates(spark, odd, none, monkeypatch):
     check_near(docs)
 
 
+def test_rarest_shingles(spark, monkeypatch):
+    # Short texts of few patterns, so that sets are small, links are near the limit, and cells have many documents.
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["a b c d e f g h", "b c d e f g h i", "x"]).split()[: r.randrange(1, 9)] + [f"t{r.randrange(40)}"] * r.randrange(3))) for i in range(300)]
+    rows += [(1000 + i, f"page not found on server x{i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for many in (0, 30):
+        monkeypatch.setattr(near_dedup, "MANY", many)
+        keep = near_dedup.hot_keys
+        with monkeypatch.context() as m:
+            m.setattr(near_dedup, "hot_keys", lambda reps, keep=keep: keep(reps, 5))
+            check_near(docs)
+            m.setattr(near_dedup, "BLOCK_SHINGLES", 150)
+            check_near(docs)
+
+
 def test_join_path_of_hot_keys(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     reps = near_dedup.signed(docs).where("sig is not null").select("doc_id", "sig", "n_shingles")
