@@ -8,8 +8,6 @@ as another one raises the likelihood less a penalty per language; the last set t
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,15 +24,19 @@ PENALTY = 3.0
 #: Rounds for the order in which languages are tried. The mixture of a set goes on until no share moves by TOLERANCE.
 ROUNDS = 8
 TOLERANCE = 1e-3
-LETTER = re.compile(r"[^\W\d_]")
 
 # Bytes: ASCII letters (texts are in lower case) and all bytes of longer characters stay, others part words.
 _KEEP = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter of any script; numerals of any kind are none."""
+    return any(c.isalpha() for c in text or "")
+
+
 def places(text: str) -> np.ndarray:
     """The place of each trigram of a text's words, ends of words included; none if it has no letter."""
-    if not text or not LETTER.search(text):
+    if not has_letter(text):
         return np.zeros(0, np.int64)
     b = _KEEP[np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)]
     b = b[np.concatenate([[True], (b[1:] != 32) | (b[:-1] != 32)])].astype(np.uint32)

@@ -76,6 +76,9 @@ def test_language(spark, odd, none, sf_dir):
     mixed = spark.createDataFrame([(1, one["en"] + " " + one["fr"]), (2, one["en"])], "doc_id long, text string")
     found = {r.doc_id: r.languages for r in language.identify(mixed, model).collect()}
     assert "en:" in found[1] and "fr:" in found[1] and found[2] == "en:1.000"
+    # Numerals of any kind are no letters; a single letter of any script is one.
+    signs = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ² Ⅷ", "①②", "12 _ ٣", "½ a", "漢", "²ß"])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in language.identify(signs, model).where("lang_pred = 'und'").collect()) == [0, 1, 2]
     empty = language.fit(none)
     assert {r.lang_pred for r in language.identify(odd, empty).collect()} == {"und"} and language.identify(none, model).count() == 0
 
