@@ -48,13 +48,25 @@ def without_label(name: Column) -> Column:
     return F.regexp_replace(name, r"(?U)^[A-Za-z]+\d{4,}[ _.-]*", "")
 
 
+def _years(text: Column, k: int, low: int, high: int) -> Column:
+    """Array of (pattern, start, end, year) of the k-th pattern within the bounds."""
+    year = lambda m: F.right(m["text"], F.lit(4)).try_cast("int")
+    found = F.transform(find_all(text, YEAR_PATTERNS[k - 1]), lambda m: F.struct(F.lit(k).alias("pattern"), m["start"].alias("start"), m["end"].alias("end"), year(m).alias("year")))
+    return F.filter(found, lambda c: c["year"].between(low, high))
+
+
 def year_candidates(text: Column, low: int, high: int) -> Column:
     """Array of (pattern, start, end, year) within the bounds, by pattern, then place."""
-    parts = []
-    for k, pattern in enumerate(YEAR_PATTERNS, 1):
-        year = lambda m: F.right(m["text"], F.lit(4)).try_cast("int")
-        parts.append(F.transform(find_all(text, pattern), lambda m: F.struct(F.lit(k).alias("pattern"), m["start"].alias("start"), m["end"].alias("end"), year(m).alias("year"))))
-    return F.filter(F.concat(*parts), lambda c: c["year"].between(low, high))
+    return F.concat(*[_years(text, k, low, high) for k in range(1, len(YEAR_PATTERNS) + 1)])
+
+
+def year_of(text: Column, low: int, high: int, policy: str, by_place: bool = False) -> Column:
+    """What ``pick_year`` picks of ``year_candidates``; patterns are tried only while one may still decide, and only where a text can have a year."""
+    if by_place or policy in ("last", "max"):
+        found = pick_year(year_candidates(text, low, high), policy, by_place)
+    else:
+        found = F.coalesce(*[F.get(_years(text, k, low, high), F.lit(0)) for k in range(1, len(YEAR_PATTERNS) + 1)])
+    return F.when(F.contains(text, F.lit("19")) | F.contains(text, F.lit("20")), found)
 
 
 def pick_year(candidates: Column, policy: str, by_place: bool = False) -> Column:

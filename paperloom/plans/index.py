@@ -95,3 +95,11 @@ def by_range(rows: DataFrame, descending: bool = False) -> DataFrame:
     """Rows in the order of the first number of their range; rows without one last, or first if descending."""
     n = L.order_number(F.col("bates_range"))
     return rows.orderBy(n.desc_nulls_first() if descending else n.asc_nulls_last(), "ord")
+
+
+def range_ranks(rows: DataFrame, by: list[str], descending: bool = False) -> DataFrame:
+    """``rows`` with ``rank``, from 1, their place in the order of ``by_range`` within each group of ``by``; groups may be few and large."""
+    n = L.order_number(F.col("bates_range"))
+    key = F.coalesce(-n if descending else n, F.lit(-(1 << 62) if descending else 1 << 62))
+    out = running_before(rows.withColumn("_key", key).withColumn("_one", F.lit(1)), "_one", ["_key", "ord"], by)
+    return out.withColumn("rank", F.col("before") + 1).drop("_key", "_one", "before")

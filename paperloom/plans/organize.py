@@ -21,9 +21,8 @@ def with_year(files: DataFrame, pages: DataFrame | None = None, low: int = 1900,
     ``files``: batch_id, ord, path, mod_date, creation_date; ``pages``: batch_id, path, page_no, text. Only PDFs have metadata
     and content; only PDFs undecided so far are joined with their first page. Unknown policies act as ``first``.
     """
-    name = P.filename(F.col("path"))
-    hit = D.pick_year(D.year_candidates(D.without_label(name), low, high), policy)
-    rows = files.withColumn("_hit", hit).withColumn("_pdf", P.ext(F.col("path")) == ".pdf")
+    bare = F.when(F.col("path").rlike("19|20"), D.without_label(P.filename(F.col("path"))))
+    rows = files.withColumn("_name", bare).withColumn("_hit", D.year_of(F.col("_name"), low, high, policy)).drop("_name").withColumn("_pdf", P.ext(F.col("path")) == ".pdf")
     mod, made = D.pdf_date_year(F.col("mod_date")), D.pdf_date_year(F.col("creation_date"))
     use_mod = F.coalesce(mod.between(low, high), F.lit(False))
     meta = F.when(F.col("_pdf"), F.when(use_mod, mod).when(made.between(low, high), made))
@@ -39,7 +38,7 @@ def with_year(files: DataFrame, pages: DataFrame | None = None, low: int = 1900,
     open_ = rows.where("method is null")
     front = pages.where("page_no = 1").select(*FILE, F.col("text").alias("_text"))
     open_ = open_.join(front.hint("merge"), FILE, "left")
-    found = D.pick_year(D.year_candidates(F.col("_text"), low, high), policy, by_place=True)
+    found = D.year_of(F.col("_text"), low, high, policy, by_place=True)
     blank = F.trim(F.regexp_replace(F.coalesce("_text", F.lit("")), r"(?U)\s+", " ")) == ""
     open_ = open_.withColumn("_hit", found).withColumn("year", F.col("_hit.year")).withColumn("method", F.when(F.col("_hit").isNotNull(), "content").otherwise("none"))
     said = F.concat(F.lit("content-pattern"), F.col("_hit.pattern").cast("string"), F.lit("@pos"), F.col("_hit.start").cast("string"))

@@ -11,11 +11,13 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.batch_queries import QUERIES as BATCHES
 from paperloom.case_queries import QUERIES as CASES
 from paperloom.functions import labels as L
 from paperloom.functions import paths as P
 from paperloom.functions.matching import without_last_digits
 from paperloom.functions.patterns import load_patterns
+from paperloom.operators.numbering import running_before
 from paperloom.page_queries import QUERIES as PAGES
 from paperloom.plans import index, labels, organize, redact, report, scan
 
@@ -559,10 +561,9 @@ JUNK_SQL = """select c_custkey, case c_custkey % 6 when 3 then '__MACOSX/' || c_
 
 def natural_order(spark, sf_dir):
     """Rank of part names in natural order within their brand."""
-    from pyspark.sql import Window
-
-    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey", "p_brand", "concat('Item ', p_partkey % 97, '-', p_size, '.pdf') as name")
-    return rows.select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(P.natural_key(F.col("name")), "p_partkey")).alias("rank"))
+    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey", "p_brand", "concat('Item ', p_partkey % 97, '-', p_size, '.pdf') as name", "1 as one")
+    out = running_before(rows.withColumn("key", P.natural_key(F.col("name"))), "one", ["key", "p_partkey"], ["p_brand"])
+    return out.select("p_partkey", (F.col("before") + 1).cast("int").alias("rank"))
 
 
 NATURAL_SQL = "select p_partkey, row_number() over (partition by p_brand order by p_partkey % 97, p_size, p_partkey)::int as rank from part"
@@ -642,16 +643,14 @@ select o_orderkey, case k when 0 then 'ABC' when 1 then '' when 3 then 'A.B' ||
 
 
 def range_order(spark, sf_dir):
-    """Rank of index rows by the number in their range, rows without one last."""
-    from pyspark.sql import Window
-
-    rows = _index(spark, sf_dir)
-    by = Window.partitionBy("batch_id", "category").orderBy(L.order_number(F.col("bates_range")).asc_nulls_last(), "ord")
-    return rows.select("batch_id", "ord", F.row_number().over(by).alias("rank"))
+    """Rank of index rows by the number in their range, both ways; rows without one last, and first the other way."""
+    rows = index.range_ranks(_index(spark, sf_dir), ["batch_id", "category"]).withColumnRenamed("rank", "up")
+    return index.range_ranks(rows, ["batch_id", "category"], descending=True).select("batch_id", "ord", F.col("up").cast("int").alias("rank"), F.col("rank").alias("rank_down"))
 
 
-RANGE_SQL = f"""with {INDEX_SQL} select batch_id, ord, row_number() over (partition by batch_id, category
-  order by try_cast(regexp_extract(bates_range, '([0-9]{{6,10}})', 1) as bigint) nulls last, ord)::int as rank from rows"""
+RANGE_SQL = f"""with {INDEX_SQL}, n as (select *, try_cast(regexp_extract(bates_range, '([0-9]{{6,10}})', 1) as bigint) as no from rows)
+  select batch_id, ord, row_number() over (partition by batch_id, category order by no nulls last, ord)::int as rank,
+    row_number() over (partition by batch_id, category order by no desc nulls first, ord) as rank_down from n"""
 
 
 def delivery_plan(spark, sf_dir):
@@ -737,4 +736,4 @@ QUERIES = {
     "stage_elapsed": (stage_elapsed, ELAPSED_SQL),
     "run_report": (run_report, REPORT_SQL),
     "run_summary": (run_summary, SUMMARY_SQL),
-} | CASES | PAGES
+} | CASES | PAGES | BATCHES

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import paths as P
+from paperloom.operators.storage import written
 
 RECORDS = "array<struct<path:string,rel_dir:string,filename:string,first_label:string,last_label:string,pages:int,category:string>>"
 METADATA = "array<struct<name:string,path:string,fullPath:string,batesRange:string>>"
@@ -45,13 +46,116 @@ def expand(archives: DataFrame, on_bad: str = "row", allowed: tuple[str, ...] |
                 except zipfile.BadZipFile:
                     if on_bad == "fail":
                         raise
-                    out.append(row(0, archive, len(content), None, "Not a valid ZIP file"))
+                    out.append(row(0, archive, len(content), None, BAD_ARCHIVE))
             yield pd.DataFrame(out, columns=["batch_id", "archive", "ord", "path", "size_bytes", "content", "error"])
 
     rows = archives.select("archive", "content").mapInPandas(members, MEMBERS).where(~P.is_junk(F.col("path")))
     return rows if allowed is None else rows.where(P.ext(F.col("path")).isin(*allowed) | F.col("error").isNotNull())
 
 
+#: Archives inside of archives are opened so many times; what is deeper is a failure.
+DEEPEST = 8
+PACKED = "batch_id string, within string, place array<long>, path string, size_bytes long, method int, crc long, raw binary, error string"
+#: Bytes of members that a batch on its way to Spark holds, if more than one member is in it.
+BATCH_BYTES = 1 << 22
+# Reasons of failures, as users of the job expect them.
+BAD_ARCHIVE = "Not a valid ZIP file"
+
+
+def _packed(archives: DataFrame) -> DataFrame:
+    """Members as they are stored, from (batch_id, within, place, path, content): the central directory cuts an archive, nothing is unpacked."""
+    import struct
+
+    names = [f.split()[0] for f in PACKED.split(", ")]
+
+    def members(batch_id, within, place, path, content):
+        inner = path if within is None else f"{within}!{path}"
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for k, m in enumerate(x for x in z.infolist() if not x.is_dir()):
+                    head = content[m.header_offset : m.header_offset + 30]
+                    if len(head) < 30 or head[:4] != b"PK\x03\x04":
+                        raise zipfile.BadZipFile
+                    start = m.header_offset + 30 + sum(struct.unpack("<HH", head[26:30]))
+                    locked = "Encrypted archive member" if m.flag_bits & 1 else None
+                    yield batch_id, inner, [*place, k], m.filename, m.file_size, m.compress_type, m.CRC, content[start : start + m.compress_size], locked
+        except (zipfile.BadZipFile, struct.error, ValueError, UnicodeDecodeError):
+            yield batch_id, within, place, path, len(content), None, None, None, BAD_ARCHIVE
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out, size = [], 0
+            for row in pdf.itertuples(index=False):
+                for member in members(row.batch_id, row.within, list(row.place), row.path, row.content):
+                    out.append(member)
+                    size += len(member[7] or b"")
+                    if size >= BATCH_BYTES:
+                        yield pd.DataFrame(out, columns=names)
+                        out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return archives.select("batch_id", "within", "place", "path", "content").mapInPandas(cut, PACKED)
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """``content`` and ``error`` of members that ``_packed`` cut; a member that does not fit its checksum is an error."""
+    import zlib
+
+    def unpack(method: float, crc: float, raw, error):
+        if error or pd.isna(method):
+            return None, error
+        if method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            return None, "Unsupported compression"
+        try:
+            content = raw if method == zipfile.ZIP_STORED else zlib.decompress(raw, -15)
+        except zlib.error:
+            return None, "Damaged archive member"
+        return (content, None) if zlib.crc32(content) == int(crc) else (None, "Damaged archive member")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [unpack(*x) for x in zip(pdf["method"], pdf["crc"], pdf["raw"], pdf["error"], strict=True)]
+            pdf = pdf.drop(columns=["method", "crc", "raw", "error"])
+            yield pdf.assign(content=[c for c, _ in found], error=[e for _, e in found])
+
+    return packed.mapInPandas(run, "batch_id string, within string, place array<long>, path string, size_bytes long, content binary, error string")
+
+
+def expand_all(archives: DataFrame, allowed: tuple[str, ...] | None = None, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
+    """(members, failures) of archives and all archives in them; what goes wrong is a failure of its file alone.
+
+    ``archives``: archive, content, and batch_id if a batch has several. Files that are no ZIP by name pass as they are. members: batch_id, within (the archives
+    around it, outermost first, parted by ``!``; null for a file by itself), place (its place in each), path, size_bytes, content; without folders, junk, and kinds
+    not ``allowed``. failures: batch_id, path, stage, reason. A directory is read in one task, members are then dealt to all tasks and unpacked, level by level; a
+    row holds at most 2 GB. Null content is an archive that is none. No archives give empty tables.
+    """
+    spark = archives.sparkSession
+    batch = F.col("batch_id") if "batch_id" in archives.columns else F.col("archive")
+    level = archives.select(batch.alias("batch_id"), F.lit(None).cast("string").alias("within"), F.array().cast("array<long>").alias("place"), F.col("archive").alias("path"), F.octet_length("content").cast("long").alias("size_bytes"), F.coalesce("content", F.lit("").cast("binary")).alias("content"), F.lit(None).cast("string").alias("error"))
+    zipped = F.lower("path").endswith(".zip") & F.col("error").isNull()
+    kept, failed = [], []
+    for depth in range(deepest + 1):
+        files = level.where(~zipped & ~P.is_junk(F.col("path")))
+        wanted = F.lit(True) if allowed is None else P.ext(F.col("path")).isin(*allowed)
+        kept.append(files.where(F.col("error").isNull() & wanted).drop("error"))
+        failed.append(files.where(F.col("error").isNotNull()).select("batch_id", "path", F.col("error").alias("reason")))
+        inner = level.where(zipped & ~P.is_junk(F.col("path")))
+        if depth == deepest:
+            failed.append(inner.select("batch_id", "path", F.lit("Too many archives inside of each other").alias("reason")))
+        elif inner.limit(1).count() == 0:
+            break
+        else:
+            width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            level = written(_unpacked(_packed(inner).repartition(width, "batch_id", "within", "place")), "members")
+    members, failures = kept[0], failed[0]
+    for a in kept[1:]:
+        members = members.unionByName(a)
+    for b in failed[1:]:
+        failures = failures.unionByName(b)
+    return members, failures.select("batch_id", "path", F.lit("intake").alias("stage"), "reason")
+
+
 def json_list(text: Column, kind: str) -> Column:
     """A JSON text as an array of structs; null if it is not a list."""
     return F.when(F.json_array_length(text).isNotNull(), F.from_json(text, kind))
