@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import paths as P
 from paperloom.functions.patterns import load_patterns
+from paperloom.operators.collisions import free_names
 from paperloom.operators.storage import shared_dir
 from paperloom.plans import finalize, passes, validate
 from paperloom.sources import intake
@@ -83,6 +84,25 @@ VALIDATION_SQL = """with v as (
 select 'c' || o_custkey as batch_id, 0 as files, path, reason, n as violations from first
 union all select 'c' || o_custkey, count(*), null, null, 0 from orders where o_custkey % 10 <> 9 and o_custkey not in (select o_custkey from v) group by o_custkey"""
 
+def free_file_names(spark, sf_dir):
+    """Names of files in customers' folders, where names bring numbers of their own, before and after these are given."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "'b' as batch_id", "o_orderkey as ord", "concat('c', o_custkey) as folder",
+        "case o_orderkey % 4 when 2 then concat('doc__', 1 + o_orderkey div 4 % 3, '.pdf') when 3 then 'doc__1__1.pdf' else 'doc.pdf' end as name",
+    )
+    return free_names(rows).select("ord", "folder", "placed")
+
+
+NAMES_SQL = """with recursive f as (
+  select 'c' || o_custkey as folder, o_orderkey as ord, case o_orderkey % 4 when 2 then 'doc__' || (1 + o_orderkey // 4 % 3) when 3 then 'doc__1__1' else 'doc' end as stem,
+    row_number() over (partition by o_custkey order by o_orderkey) as k from orders
+), step as (
+  select folder, ord, k, stem as placed, [stem] as taken from f where k = 1
+  union all select folder, ord, k, placed, list_append(taken, placed) from (
+    select f.folder, f.ord, f.k, s.taken, list_filter(list_concat([f.stem], list_transform(range(1, len(s.taken) + 2), lambda i: f.stem || '__' || i)), lambda n: not list_contains(s.taken, n))[1] as placed
+    from step s join f on f.folder = s.folder and f.k = s.k + 1)
+) select ord, folder, placed || '.pdf' as placed from step"""
+
 # Passes of redaction ------------------------------------------------------------------------------------------------
 
 LINES = """concat('tel. 555-', lpad(cast(o_orderkey % 999 as string), 3, '0'), '-', lpad(cast(o_custkey % 9999 as string), 4, '0'), ' mail m', o_custkey, '@x.org no. ', lpad(cast(o_orderkey % 99999999 as string), 8, '0'))"""
@@ -183,6 +203,7 @@ union all select distinct batch_id, '_redaction_audit.json', 'audit' from rows w
 QUERIES = {
     "nested_archives": (nested_archives, NESTED_SQL),
     "batch_validation": (batch_validation, VALIDATION_SQL),
+    "free_file_names": (free_file_names, NAMES_SQL),
     "redact_passes": (redact_passes, PASSES_SQL),
     "pass_hits": (pass_hits, PASS_HITS_SQL),
     "finished_index": (finished_index, FINISHED_INDEX_SQL),
