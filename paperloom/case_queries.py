@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from paperloom.functions import dates as D
 from paperloom.functions import paths as P
 from paperloom.functions.patterns import load_patterns
 from paperloom.operators.picks import last_by
+from paperloom.operators.storage import shared_dir
 from paperloom.plans import index, labels, organize, redact, report, scan
 from paperloom.sources import intake, results
 
@@ -193,6 +199,116 @@ def path_names(spark, sf_dir):
 PATH_NAMES = """with r as (select p_partkey, p_partkey % 4 as k, 'n' || p_size as n, p_brand from part qualify row_number() over (partition by p_brand, p_partkey % 4, p_size order by p_partkey desc) = 1)
 select p_partkey, case k when 2 then 'a/b/' when 3 then 'c/' else '' end || n || '.pdf' as path, n || '_done.zip' as output, 'my_' || n || '.pdf.zip' as download from r"""
 
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def archive_members(spark, sf_dir):
+    """Members of an archive for each of 50 parts of a kind that is asked for; an archive that is none is a row with an error."""
+
+    def pack(pdf):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for i, name in zip(pdf["p_partkey"], pdf["p_name"], strict=True):
+                z.writestr(f"d/{i}{'.TXT' if i % 2 else '.doc'}", name)
+        bad = pdf["p_partkey"].iloc[0] // 50 % 4 == 3
+        return pd.DataFrame({"archive": [f"p{pdf['p_partkey'].iloc[0] // 50}.zip"], "content": [b"PK no" if bad else out.getvalue()]})
+
+    parts = _rows(spark, sf_dir, "part", "p_partkey", "p_name", "p_partkey div 50 as k")
+    zipped = parts.groupBy("k").applyInPandas(lambda pdf: pack(pdf.sort_values("p_partkey")), "archive string, content binary")
+    return intake.expand(zipped, allowed=(".txt",)).select("archive", "path", "error", F.col("content").cast("string").alias("text"))
+
+
+ARCHIVE_MEMBERS = """select 'p' || (p_partkey // 50) || '.zip' as archive, 'd/' || p_partkey || '.TXT' as path, null as error, p_name as text from part where p_partkey % 2 = 1 and p_partkey // 50 % 4 <> 3
+union all select distinct 'p' || (p_partkey // 50) || '.zip', 'p' || (p_partkey // 50) || '.zip', 'Not a valid ZIP file', null from part where p_partkey // 50 % 4 = 3"""
+
+
+def password_files(spark, sf_dir):
+    """Passwords from lists with a header of these names in any order and case, and from lists without: the first two columns."""
+    rows = _rows(spark, sf_dir, "customer", "c_custkey", "concat(' ', c_name, '.pdf') as name", "case when c_custkey % 9 = 0 then null else concat('pw', c_custkey) end as pw", "c_mktsegment as other")
+    named, bare = _folder(spark), _folder(spark)
+    rows.where("c_custkey % 2 = 0").selectExpr("other", "pw as PassWord", "name as FileName").write.option("header", True).csv(named)
+    rows.where("c_custkey % 2 = 1").selectExpr("name as a", "pw as b", "other").write.option("header", True).csv(bare)
+    return intake.read_password_list(spark, named).unionByName(intake.read_password_list(spark, bare))
+
+
+PASSWORD_FILES = "select c_name || '.pdf' as filename, 'pw' || c_custkey as password from customer where c_custkey % 9 <> 0"
+
+
+def client_lists(spark, sf_dir):
+    """What clients say of their files in JSON, a list for each customer; what is no list says nothing."""
+    one = F.to_json(F.struct(F.concat(F.lit("f"), "o_orderkey").alias("name"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("p/f"), "o_orderkey")).otherwise("").alias("path"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("q/f"), "o_orderkey")).alias("fullPath"), F.concat(F.lit("A "), "o_orderkey").alias("batesRange")))
+    rows = _rows(spark, sf_dir, "orders", "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", one.alias("one"))
+    texts = rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "one"))).alias("l"))
+    whole = F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["one"]), ","), F.lit("]"))
+    texts = texts.select(F.concat(F.lit("c"), "o_custkey").alias("batch_id"), F.when(F.col("o_custkey") % 8 == 0, F.get("l", F.lit(0))["one"]).when(F.col("o_custkey") % 8 == 1, "no json").otherwise(whole).alias("text"))
+    return intake.client_metadata(texts)
+
+
+CLIENT_LISTS = """select 'c' || o_custkey as batch_id, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int as ord, 'f' || o_orderkey as name,
+  case when o_orderkey % 2 = 0 then 'p/f' || o_orderkey when o_orderkey % 3 > 0 then 'q/f' || o_orderkey end as path, 'A ' || o_orderkey as bates_range from orders where o_custkey % 8 > 1"""
+
+
+def index_file(spark, sf_dir):
+    """The sheet written as CSV and read back; a batch is a month of orders."""
+    files = _rows(spark, sf_dir, "orders", "date_format(o_orderdate, 'yyyyMM') as batch_id", "o_orderkey as ord", "concat('a/c', o_custkey % 3, '/f', o_orderkey, '.pdf') as path")
+    path = _folder(spark)
+    results.write_sheet(index.sheet(index.index_rows(files)), path)
+    out = spark.read.option("header", True).schema("batch_id string, row_no long, row_type string, date_text string, text string, bates string").csv(path)
+    return out.fillna("")
+
+
+INDEX_FILE = """with r as (select strftime(o_orderdate, '%Y%m') as b, 'c' || (o_custkey % 3) as c, 'f' || o_orderkey || '.pdf' as f, o_orderkey from orders),
+g as (select b, c, count(*) as n, sum(count(*) + 2) over (partition by b order by c) - count(*) - 2 + 4 as head from r group by b, c)
+select b as batch_id, (head + row_number() over (partition by b, c order by f, o_orderkey))::bigint as row_no, 'document' as row_type, '2000-01-01' as date_text, f as text, '' as bates from r join g using (b, c)
+union all select b, head::bigint, 'category', '', c, '' from g union all select b, (head + n + 1)::bigint, 'blank', '', '', '' from g
+union all select distinct b, 3, 'header', 'Date Produced', 'Category & Documents provided', 'Bated labels' from r"""
+
+
+def year_folders(spark, sf_dir):
+    """Organized files written below a folder for each year, and read from these."""
+    files = _rows(spark, sf_dir, "orders", "'b' as batch_id", "o_orderkey as ord", "concat('scan ', date_format(o_orderdate, 'yyyy-MM-dd'), case o_orderkey % 4 when 0 then '' else ' x' end, '.pdf') as path", "cast(null as string) as mod_date", "cast(null as string) as creation_date")
+    path = _folder(spark)
+    results.write_by_folder(organize.organized(files).select("ord", "folder", "placed"), path)
+    return spark.read.schema("ord long, placed string, folder string").parquet(path)
+
+
+YEAR_FOLDERS = """with n as (select o_orderkey as ord, strftime(o_orderdate, '%Y') as folder, 'scan ' || strftime(o_orderdate, '%Y-%m-%d') || case o_orderkey % 4 when 0 then '' else ' x' end as stem from orders)
+select ord, folder, stem || case when row_number() over (partition by folder, stem order by ord) = 1 then '' else '__' || (row_number() over (partition by folder, stem order by ord) - 1) end || '.pdf' as placed from n"""
+
+
+def stripped_names(spark, sf_dir):
+    """Names without the label in front, and the year that is left in them."""
+    rows = _rows(spark, sf_dir, "orders", "o_orderkey", "concat(case o_orderkey % 4 when 0 then concat('ABC', 100000 + o_custkey, ' - ') when 1 then 'Report' when 2 then 'A12 ' else '' end, year(o_orderdate), '.pdf') as name")
+    bare = D.without_label(F.col("name"))
+    return rows.select("o_orderkey", bare.alias("bare"), D.year_of(bare, 1900, 2099, "first")["year"].alias("year"))
+
+
+STRIPPED_NAMES = """select o_orderkey, case o_orderkey % 4 when 1 then 'pdf' when 2 then 'A12 ' || year(o_orderdate) || '.pdf' else year(o_orderdate) || '.pdf' end as bare, case when o_orderkey % 4 <> 1 then year(o_orderdate)::int end as year from orders"""
+
+
+def long_literals(spark, sf_dir):
+    """Matches of blanks do not count; those of more than sixty characters count, but are not covered."""
+    pages = _pages(spark, sf_dir, "concat('x    y ', repeat('L', 55 + o_orderkey % 10), ' z')")
+    found = redact.hits(pages, load_patterns(regexes=r"[ ]{3,}|L+"))
+    n = redact.hits_by_file(found).select("path", "hits")
+    return redact.masked(pages, found).select("path", "redacted").join(n.hint("merge"), "path")
+
+
+LONG_LITERALS = """select o_orderkey || '.pdf' as path, 'x    y ' || repeat(case when o_orderkey % 10 < 6 then '█' else 'L' end, (55 + o_orderkey % 10)::int) || ' z' as redacted, 1 as hits from orders"""
+
+
+def password_modes(spark, sf_dir):
+    """One password for all files, and none."""
+    rows = _rows(spark, sf_dir, "customer", "'b' as batch_id", "c_custkey as ord", "c_name as path")
+    given = rows.select("batch_id", "ord", F.col("path").alias("filename"), F.lit("own").alias("password"))
+    out = scan.passwords(rows, given, "all", "main").withColumn("mode", F.lit("all"))
+    return out.unionByName(scan.passwords(rows, given, "none", "main").withColumn("mode", F.lit("none"))).unionByName(scan.passwords(rows, given, "all", "").withColumn("mode", F.lit("empty")))
+
+
+PASSWORD_MODES = """select 'b' as batch_id, c_name as path, case mode when 'all' then 'main' end as password, case mode when 'all' then 'all' else 'none' end as password_source, mode from customer, (select unnest(['all', 'none', 'empty']) as mode)"""
+
 QUERIES = {
     "detect_blacklist": (detect_blacklist, DETECT_BLACKLIST),
     "detect_browser": (detect_browser, DETECT_BROWSER),
@@ -209,5 +325,13 @@ QUERIES = {
     "package_entries": (package_entries, PACKAGE_ENTRIES),
     "sidecar_anywhere": (sidecar_anywhere, SIDECAR_ANYWHERE),
     "utc_times": (utc_times, UTC_TIMES),
+    "archive_members": (archive_members, ARCHIVE_MEMBERS),
+    "password_files": (password_files, PASSWORD_FILES),
+    "client_lists": (client_lists, CLIENT_LISTS),
+    "index_file": (index_file, INDEX_FILE),
+    "year_folders": (year_folders, YEAR_FOLDERS),
+    "stripped_names": (stripped_names, STRIPPED_NAMES),
+    "long_literals": (long_literals, LONG_LITERALS),
+    "password_modes": (password_modes, PASSWORD_MODES),
     "path_names": (path_names, PATH_NAMES),
 }
