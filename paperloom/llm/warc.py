@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import joined_small, shared_dir, table, written
+from paperloom.llm.common import discard, joined_small, shared_dir, table, written
 
 #: Payloads of so many bytes are written once.
 MIN_BYTES = 0
@@ -137,7 +137,8 @@ def reachable(found: DataFrame) -> DataFrame:
             F.struct(F.col("jump").alias("offset"), F.lit(None).cast("long").alias("jump"), (F.col("reached") & F.col("_there").isNotNull()).alias("reached")),
         )
         rows = met.select("archive", F.explode(both).alias("r")).select("archive", "r.*").where("jump is not null or reached or offset is not null")
-        now = written(rows.groupBy("archive", "offset").agg(F.max("jump").alias("jump"), F.max("reached").alias("reached")).where("offset is not null"), "chain")
+        last, now = now, written(rows.groupBy("archive", "offset").agg(F.max("jump").alias("jump"), F.max("reached").alias("reached")).where("offset is not null"), "chain")
+        discard(last)
     return now.where("reached").select("archive", "offset")
 
 
