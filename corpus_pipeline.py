@@ -77,7 +77,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents``; the last one's rows."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage-{name}")
+            if k:
+                discard(last)
     return docs
