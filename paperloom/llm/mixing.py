@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import discard, fresh, joined_small, table, word_count, written
+from paperloom.operators.numbering import running_before
 
 #: Words of a block at most, the unit of a slot; a source has at least so many blocks, if it has the words.
 BLOCK = 256
@@ -22,6 +23,8 @@ SEED = 20240613
 #: Documents of a source that are ordered in one task, on average.
 RUN = 512
 GOLDEN = 0.6180339887498949
+#: Sources whose names and numbers are sent to all tasks; more are joined by a shuffle.
+SOURCES = 10_000
 
 
 def targets(sizes: list[tuple], weights: list[float], total: int, most: float = MAX_EPOCHS) -> list[float]:
@@ -45,40 +48,55 @@ def targets(sizes: list[tuple], weights: list[float], total: int, most: float =
     return out
 
 
-def plan_sources(sized: DataFrame, weights=None) -> list[tuple]:
-    """(source, size, target) of each source, in order of code points, null last. One row a source comes to the driver."""
-    rows = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    rows.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    w = [(weights or {}).get(s, 1 + k % 3) if weights is not None else 1 + k % 3 for k, (s, _) in enumerate(rows)]
-    goal = targets(rows, w, sum(n for _, n in rows))
-    return [(s, n, t) for (s, n), t in zip(rows, goal, strict=True)]
+def source_facts(sized: DataFrame, weights: dict | None = None, block: int = BLOCK, most: float = MAX_EPOCHS) -> DataFrame:
+    """``source_no, source, source_size, target, n_blocks, low``: sources in order of code points, null last. A written table.
 
+    The same targets as ``targets`` gives, over a table: in each round sources that would pass their stop are stopped, and two sums
+    over the others come to the driver. ``low`` is where the source's part of the schedule begins, in slots.
+    """
+    total = sized.groupBy("source").agg(F.sum("size").alias("n")).withColumn("last", F.col("source").isNull()).withColumn("one", F.lit(1))
+    rows = running_before(total, "one", ["last", "source"], []).select(F.col("before").cast("int").alias("source_no"), "source", "n")
+    weight = (F.col("source_no") % 3 + 1).cast("double")
+    if weights:
+        given = sized.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "named string, given double")
+        rows = rows.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("named")), "left")
+        weight = F.coalesce("given", weight)
+    rows = written(rows.select("source_no", "source", "n", weight.alias("w")), "sources")
+    left, whole, stopped, count = None, None, F.lit(False), -1
+    while True:
+        open_ = ~stopped & (F.col("n") > 0)
+        r = rows.agg(F.sum("n").alias("all"), F.sum(F.when(stopped, F.col("n") * most)).alias("gone"), F.sum(F.when(open_, F.col("w"))).alias("w"), F.count_if(stopped).alias("k")).first()
+        if r["k"] == count or not r["w"]:
+            break
+        left, whole, count = float(r["all"] or 0) - float(r["gone"] or 0), r["w"], r["k"]
+        stopped = stopped | ((F.col("n") > 0) & (F.lit(left) * F.col("w") / F.lit(whole) >= F.col("n") * most))
+    share = F.lit(left) * F.col("w") / F.lit(whole) if whole else F.lit(0.0)
+    target = F.when(F.col("n") <= 0, 0.0).when(stopped, F.col("n") * float(most)).otherwise(share)
+    n_blocks = F.greatest(F.lit(1), F.least(F.col("n"), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("n") / block)))).cast("long")
+    rows = rows.select("source_no", "source", F.col("n").alias("source_size"), target.alias("target"), n_blocks.alias("n_blocks"))
+    part = F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0)
+    out = running_before(rows.withColumn("slots", part), "slots", ["source_no"], [], "low")
+    return written(out.select("source_no", "source", "source_size", "target", "n_blocks", "slots", "low"), "source-facts")
 
-def blocks_of(size: int, block: int) -> int:
-    """Number of equal blocks of a source; block b holds words [b * size div n, (b + 1) * size div n)."""
-    return max(1, min(size, max(LEAST_BLOCKS, -(-size // block))))
 
+def schedule(facts: DataFrame) -> DataFrame:
+    """(source_no, block_no, times): how often the schedule's slots take each block of each source.
 
-def schedule(spark, plan: list[tuple], block: int) -> DataFrame:
-    """(source_no, block_no, times): how often the schedule's slots take each block of each source."""
-    n_blocks = [blocks_of(n, block) for _, n, _ in plan]
-    shares = [t * k / n if n else 0.0 for (_, n, t), k in zip(plan, n_blocks, strict=True)]
-    total, edges, at = sum(shares), [], 0.0
-    for share in shares[:-1]:
-        at += share
-        edges.append(at / total if total else 1.0)
+    Slots and the edges between sources stand on one line; a slot's source is the number of edges before it.
+    """
+    total = facts.agg(F.sum("slots")).first()[0] or 0.0
+    slots = facts.sparkSession.range(int(round(total)))
     point = F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))
-    ends = F.array(*[F.lit(e) for e in edges]).cast("array<double>")
-    slots = spark.range(int(round(total))).select("id", point.alias("u"))
-    slots = slots.select("id", F.size(F.filter(ends, lambda e: e <= F.col("u"))).alias("source_no"))
+    edges = facts.where("source_no > 0").select((F.col("low") / F.lit(total or 1.0)).alias("u"), F.lit(0).alias("kind"), F.col("source_no").cast("long").alias("id"), F.lit(1).alias("edge"))
+    line = slots.select(point.alias("u"), F.lit(1).alias("kind"), "id", F.lit(0).alias("edge")).unionByName(edges)
+    slots = running_before(line, "edge", ["u", "kind", "id"], []).where("kind = 1").select("id", F.col("before").cast("int").alias("source_no"))
     # Rank within the source: whole chunks before, then the place in the chunk.
     slots = slots.withColumn("chunk", F.expr("id div 16384"))
     before = slots.groupBy("source_no", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.partitionBy("source_no").orderBy("chunk")) - F.col("n"))
     place = F.row_number().over(Window.partitionBy("source_no", "chunk").orderBy("id"))
     ranked = slots.withColumn("place", place).join(before.hint("merge"), ["source_no", "chunk"]).withColumn("rank", F.col("before") + F.col("place") - 1)
-    of = F.element_at(F.array(*[F.lit(n).cast("long") for n in n_blocks]), F.col("source_no") + 1)
-    ranked = ranked.withColumn("n_blocks", of).where(F.col("rank") < MAX_EPOCHS * F.col("n_blocks"))
+    ranked = joined_small(ranked, facts.select("source_no", "n_blocks"), ["source_no"], "inner", rows=SOURCES).where(F.col("rank") < MAX_EPOCHS * F.col("n_blocks"))
     return ranked.groupBy("source_no", (F.col("rank") % F.col("n_blocks")).alias("block_no")).agg(F.count(F.lit(1)).alias("times"))
 
 
@@ -91,16 +109,11 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed:
     last. Repeated rows count each, in an order by document, then size. An empty table gives an empty one.
     The order within a source comes from a seeded hash of the document, so reruns agree.
     """
-    spark = docs.sparkSession
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    plan = plan_sources(sized, weights)
-    if not plan:
-        plan = [(None, 0, 0.0)]
-    facts = [(k, s, n, t, blocks_of(n, block)) for k, (s, n, t) in enumerate(plan)]
-    facts = spark.createDataFrame(facts, "source_no int, source string, source_size long, target double, n_blocks long")
-    few = len(plan) <= 10_000  # names and three numbers each
-    facts = F.broadcast(facts) if few else facts.hint("merge")
-    rows = sized.join(facts.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
+    facts = source_facts(sized, weights, block)
+    known = facts.drop("slots", "low")
+    known = F.broadcast(known) if facts.limit(SOURCES + 1).count() <= SOURCES else known.hint("merge")
+    rows = sized.join(known.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
     # Shuffled order: runs by the top of a hash, then by the whole hash; whole runs before count as one sum.
     runs = max(1, -(-rows.count() // RUN))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -116,7 +129,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed:
     pieces = rows.where("size > 0").withColumn("block_no", F.explode(F.expr(meets)))
     part = F.expr("least(start + size, (block_no + 1) * source_size div n_blocks) - greatest(start, block_no * source_size div n_blocks)")
     key = ["source_no", "run", "row_no"]
-    taken = pieces.join(schedule(spark, plan, block).hint("merge"), ["source_no", "block_no"]).groupBy(*key).agg(F.sum(part * F.col("times")).alias("taken"))
+    taken = pieces.join(schedule(facts).hint("merge"), ["source_no", "block_no"]).groupBy(*key).agg(F.sum(part * F.col("times")).alias("taken"))
     out = rows.join(taken.hint("merge"), key, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     return out.select("doc_id", F.concat_ws("/", "source_no", "run", "row_no").alias("row_no"), "source", "size", "source_size", "target", "taken")
 

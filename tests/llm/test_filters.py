@@ -107,6 +107,21 @@ def test_mix(spark, odd, none):
     assert mixing.repeat_rows(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("few", [5, 10_000])
+def test_many_sources(spark, monkeypatch, few):
+    # More sources than are sent to tasks: the same targets as on the driver, each met, and the same mix either way.
+    monkeypatch.setattr(mixing, "SOURCES", few)
+    docs = spark.range(3000).selectExpr("id as doc_id", "case when id % 1200 = 7 then null else concat('s', id % 1200) end as source", "case when id % 3 = 0 then null else repeat('w ', cast(id % 50 as int)) end as text")
+    facts = mixing.source_facts(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    rows = sorted(facts.collect(), key=lambda r: r.source_no)
+    names = sorted((r.source for r in rows if r.source is not None), key=lambda x: x.encode()) + [None]
+    assert [r.source for r in rows] == names and len(rows) == 1200
+    goal = mixing.targets([(r.source, r.source_size) for r in rows], [1 + k % 3 for k in range(1200)], sum(r.source_size for r in rows))
+    assert [r.target for r in rows] == pytest.approx(goal)
+    taken = {r.source: (r.t, r.target, r.most) for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target"), F.max("source_size").alias("most")).collect()}
+    assert all(abs(t - g) <= max(4, 0.2 * m) for t, g, m in taken.values())
+
+
 def test_clashing_columns(spark, odd):
     import corpus_pipeline as cp
 
