@@ -13,8 +13,8 @@ from paperloom.functions import paths as P
 from paperloom.functions.patterns import load_patterns
 from paperloom.operators.collisions import free_names
 from paperloom.operators.storage import shared_dir
-from paperloom.plans import finalize, passes, validate
-from paperloom.sources import intake
+from paperloom.plans import finalize, passes, report, validate
+from paperloom.sources import intake, results
 
 
 def _zipped(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -200,10 +200,36 @@ def finished_package(spark, sf_dir):
 FINISHED_PACKAGE_SQL = f"""with {FINISHED_SQL} select batch_id, path as entry_name, 'file' as kind from rows union all select distinct batch_id, 'discovery_index.xlsx', 'index' from rows
 union all select distinct batch_id, '_redaction_audit.json', 'audit' from rows where b < 2 union all select distinct batch_id, '_pipeline_report.json', 'report' from rows"""
 
+def report_entries(spark, sf_dir):
+    """Reports of all users' runs, each an array over many files, read back: stages in the order of their starts, then files by name."""
+    kind = "case event_id % 4 when 0 then 'start' when 1 then 'end' when 2 then 'ok' else case when event_id % 3 = 0 then 'failed' else 'ok' end end"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("concat('r', user_id % 40) as run_id", "ts", "event_id as seq", "event_type as stage", f"{kind} as event", "case when event_id % 4 >= 2 then concat('f', user_id) end as filename", "concat('why ', event_id) as reason")
+    rows, path = report.in_order(report.file_results(events), report.stage_elapsed(events)), f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    results.write_json_array(rows.withColumn("no", F.col("place")), path)
+    out = results.read_json_array(spark, path, "no long, kind string, name string, stages_ok array<string>, stages_failed map<string,string>, elapsed_s double")
+    failed = F.array_join(F.array_sort(F.transform(F.map_entries("stages_failed"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return out.select("batch_id", "no", "kind", "name", F.array_join("stages_ok", ",").alias("ok"), failed.alias("failed"), "elapsed_s")
+
+
+REPORT_ENTRIES_SQL = """with ev as (
+  select 'r' || (user_id % 40) as run_id, ts, event_id as seq, event_type as stage, case event_id % 4 when 0 then 'start' when 1 then 'end' when 2 then 'ok' else case when event_id % 3 = 0 then 'failed' else 'ok' end end as event,
+    case when event_id % 4 >= 2 then 'f' || user_id end as filename, 'why ' || event_id as reason from events
+), f as (
+  select run_id, filename, stage, min(seq) filter (where event = 'ok') as ok, max_by(reason, seq) filter (where event = 'failed') as why from ev where filename is not null group by all
+), files as (
+  select run_id, 1 as last, null::timestamp as started, 'file' as kind, filename as name, coalesce(string_agg(stage, ',' order by ok) filter (where ok is not null), '') as ok,
+    coalesce(string_agg(stage || '=' || why, ';' order by stage || '=' || why) filter (where why is not null), '') as failed, null::double as elapsed_s from f group by run_id, filename
+), s as (
+  select run_id, stage, min(ts) filter (where event = 'start') as started, max(ts) filter (where event = 'start') as a, max(ts) filter (where event = 'end') as b from ev where event in ('start', 'end') group by all
+), rows as (
+  select * from files union all select run_id, 0, started, 'stage', stage, null, null, case when b >= a then round((epoch_us(b) - epoch_us(a)) / 1e6, 3) end from s
+) select run_id as batch_id, row_number() over (partition by run_id order by last, started nulls first, name) - 1 as no, kind, name, ok, failed, elapsed_s from rows"""
+
 QUERIES = {
     "nested_archives": (nested_archives, NESTED_SQL),
     "batch_validation": (batch_validation, VALIDATION_SQL),
     "free_file_names": (free_file_names, NAMES_SQL),
+    "report_entries": (report_entries, REPORT_ENTRIES_SQL),
     "redact_passes": (redact_passes, PASSES_SQL),
     "pass_hits": (pass_hits, PASS_HITS_SQL),
     "finished_index": (finished_index, FINISHED_INDEX_SQL),

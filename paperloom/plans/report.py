@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.operators.numbering import running_before
+
 RUN = ["run_id"]
 
 
@@ -52,6 +54,19 @@ def report_json(results: DataFrame, elapsed: DataFrame, settings: dict[str, str]
     return out.select("run_id", F.to_json(F.struct(*[c for c in out.columns], given.alias("settings"))).alias("report"))
 
 
+def in_order(results: DataFrame, elapsed: DataFrame) -> DataFrame:
+    """(batch_id, place, kind, name, stages_ok, stages_failed, elapsed_s): a run's report as entries, a run of any size, for ``write_json_array``.
+
+    First its stages in the order of their first starts, then its files by name; ``report_json`` has the same in one row.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    files = results.select("run_id", F.lit("file").alias("kind"), F.col("filename").alias("name"), "stages_ok", "stages_failed", none("double").alias("elapsed_s"), none("timestamp").alias("_at"))
+    stages = elapsed.select("run_id", F.lit("stage").alias("kind"), F.col("stage").alias("name"), none("array<string>").alias("stages_ok"), none("map<string,string>").alias("stages_failed"), "elapsed_s", F.col("started").cast("timestamp").alias("_at"))
+    rows = stages.unionByName(files).withColumn("_last", (F.col("kind") == "file").cast("int")).withColumn("_one", F.lit(1))
+    out = running_before(rows, "_one", ["_last", "_at", "name"], RUN, "place")
+    return out.select(F.col("run_id").alias("batch_id"), "place", "kind", "name", "stages_ok", "stages_failed", "elapsed_s")
+
+
 def delivery(entries: DataFrame) -> DataFrame:
     """(batch_id, files, single): the file to hand out bare, if a batch has one file alone and it is a PDF or image."""
     from paperloom.functions import paths as P
