@@ -29,7 +29,7 @@ def _sorted_suffixes(words: np.ndarray, top: int) -> np.ndarray:
     ahead = np.concatenate([words, np.zeros(DEPTH - 1, words.dtype)]).astype(np.uint64)
     part = [ahead[k : k + len(words)] for k in range(DEPTH)]
     if top <= 1 << 16:
-        return np.argsort(part[0] << np.uint64(48) | part[1] << np.uint64(32) | part[2] << np.uint64(16) | part[3], kind="stable")
+        return np.argsort(part[0] << np.uint64(48) | part[1] << np.uint64(32) | part[2] << np.uint64(16) | part[3])  # equal ones in any order
     return np.lexsort((part[2] << np.uint64(32) | part[3], part[0] << np.uint64(32) | part[1]))
 
 
@@ -38,7 +38,7 @@ class Side:
 
     def __init__(self, words: np.ndarray, top: int):
         order = _sorted_suffixes(words, top)
-        left = words[order - 1]
+        left = words[order - 1].astype(np.min_scalar_type(top))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=top))]).astype(np.int64)
         self.levels = []
         for bit in range(max(1, (top - 1).bit_length()) - 1, -1, -1):
