@@ -20,7 +20,11 @@ SCALE = 64.0
 #: Vectors and queries of a block: a cell of the search holds one block of each.
 ROWS, QUERIES = 8192, 2048
 #: Numbers of segments, coarse to fine.
-LEVELS = (4, 16)
+LEVELS = (4, 16, 32)
+#: Rows with the best of the finest bounds, whose distances are computed first: the k-th best of them is what others must reach.
+FIRST = 256
+#: Queries whose bounds are held at a time.
+HELD = 128
 
 
 def quantized(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -42,7 +46,10 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def search(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int = K, levels=LEVELS):
-    """(place in q, place in v, score) of each query's k best rows of v; ties to the smaller id; never its own id."""
+    """(place in q, place in v, score) of each query's k best rows of v; ties to the smaller id; never its own id.
+
+    Products beyond 2**52 are computed with integers of any size, without bounds; scores that no long holds are the nearest long.
+    """
     order = np.argsort(v_ids, kind="stable")
     v, v_ids = v[order], v_ids[order]
     most = max(np.abs(q).max(initial=0), np.abs(v).max(initial=0))
@@ -53,18 +60,19 @@ def search(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k
     if not q.shape[1]:
         levels = ()
     stats = [(statistics(q, m), statistics(v, m)) for m in levels]
-    coarse = stats[0][0] @ stats[0][1].T if stats else None
+    few = len(v) <= max(FIRST, 4 * k)
     for i in range(len(q)):
         others = v_ids != q_ids[i]
-        if stats and len(v) > 4 * k:
-            bound = np.where(others, coarse[i], -np.inf)
-            first = np.argpartition(-bound, 2 * k)[: 2 * k]
+        if stats and not few:
+            if i % HELD == 0:
+                bounds = [qs[i : i + HELD] @ vs.T + 0.5 for qs, vs in stats]
+            own = [b[i % HELD] for b in bounds]
+            first = np.argpartition(-np.where(others, own[-1], -np.inf), FIRST)[:FIRST]
             first = first[others[first]]
-            scores = v[first] @ q[i]
-            least = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
-            left = np.flatnonzero(bound + 0.5 >= least)
-            for qs, vs in stats[1:]:
-                left = left[vs[left] @ qs[i] + 0.5 >= least]
+            least = np.partition(v[first] @ q[i], -k)[-k] if len(first) >= k else -np.inf
+            left = np.flatnonzero(others & (own[0] >= least))
+            for bound in own[1:]:
+                left = left[bound[left] >= least]
         else:
             left = np.flatnonzero(others)
         scores = v[left] @ q[i]
