@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.numbering import running_before
-from paperloom.operators.storage import discard, written
+from paperloom.operators.storage import discard, joined_small, written
 
 KEYS = ["batch_id", "folder"]
 NUMBER = r"__([1-9]\d{0,17})$"
@@ -65,15 +65,17 @@ def free_names(files: DataFrame) -> DataFrame:
     """
     rows = _parts(files).withColumn("_family", F.concat(F.regexp_replace("_stem", r"(__\d+)+$", ""), F.lit("/"), "_suffix"))
     keys = [*KEYS, "_family"]
-    odd = rows.groupBy(*keys).agg((F.bool_or(F.col("_stem").rlike(r"__\d+$")) & (F.count(F.lit(1)) > 1)).alias("_odd")).where("_odd")
-    marked = rows.join(odd.hint("merge"), keys, "left")
+    with_number = rows.groupBy(*keys).agg(F.bool_or(F.col("_stem").rlike(r"__\d+$")).alias("_odd"), F.count(F.lit(1)).alias("_n")).where("_odd and _n > 1")
+    odd = written(with_number.select(*keys, "_odd"), "odd-families")
+    some = odd.limit(1).count() > 0
+    marked = joined_small(rows, odd, keys, "left") if some else rows.withColumn("_odd", F.lit(None).cast("boolean"))
     n = F.row_number().over(Window.partitionBy(*NAME).orderBy("ord")) - 1
     plain = marked.where("_odd is null").withColumn("placed", F.when(n == 0, F.col("name")).otherwise(F.concat("_stem", F.lit("__"), n.cast("string"), "_suffix")))
     plain = plain.select(*files.columns, "placed")
+    if not some:
+        return plain
     met = written(marked.where("_odd").select(*NAME, "ord", "_stem", "_suffix", "_depth"), "families")
     deepest = met.agg(F.max("_depth")).first()[0]
-    if deepest is None:
-        return plain
     first = met.groupBy(*NAME, "_stem", "_suffix", "_depth").agg(F.min("ord").alias("f"))
     bare, number = F.regexp_replace("_stem", NUMBER, ""), F.regexp_extract("_stem", NUMBER, 1)
     child = first.where("_depth > 0").select(*KEYS, F.concat(bare, "_suffix").alias("name"), number.cast("long").alias("b"), "f", "_depth")
