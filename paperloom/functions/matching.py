@@ -27,9 +27,7 @@ def find_all(text: Column, pattern: str) -> Column:
     ``pattern`` is in Java's dialect and must not match the empty string. Null text has no matches. Places are sums of the
     lengths before, over chunks of matches and then inside each, so the work does not grow with their square.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    pairs = F.arrays_zip(matches.alias("m"), gaps.alias("g"))
     grown = lambda at, out, kind: F.struct(at.cast("int").alias("at"), out.cast(kind).alias("out"))
 
     def base(acc, chunk):
@@ -52,7 +50,15 @@ def find_all(text: Column, pattern: str) -> Column:
         bases = F.aggregate(parts, grown(F.lit(0), F.array(), "array<int>"), base, lambda acc: acc["out"])
         return F.flatten(F.zip_with(parts, bases, placed))
 
-    found = let(pairs, lambda p: let(chunks(p), located))
+    def single(m):
+        start = F.char_length(F.get(F.split(text, pattern, 2), F.lit(0)))
+        return let(start, lambda a: F.array(F.struct(a.alias("start"), (a + F.char_length(F.get(m, F.lit(0)))).alias("end"), F.get(m, F.lit(0)).alias("text"))).cast(MATCHES))
+
+    def several(m):
+        return let(F.arrays_zip(m.alias("m"), gaps.alias("g")), lambda p: let(chunks(p), located))
+
+    # One match, the most frequent case, needs no sums.
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 1, single(m)).otherwise(several(m)))
     # Without a match nothing is split.
     return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), found).otherwise(F.array().cast(MATCHES))
 
@@ -109,11 +115,13 @@ NO_BREAK, BROKEN_BAR, ZERO_WIDTH, THIN = "\u00a0", "\u00a6", "\u200b", "\u2009"
 
 def search_variants(text: Column) -> Column:
     """Spellings of a literal with other separators, longest first; of equal length its own one first."""
+    # Without a separator there is nothing to swap.
+    plain = F.coalesce(~text.rlike("[" + "".join(("-", " ", NO_BREAK, "|", ZERO_WIDTH, THIN)) + "]"), F.lit(True))
     s = F.replace(F.replace(text, F.lit(ZERO_WIDTH), F.lit("")), F.lit(THIN), F.lit(""))
     swap = lambda a, b: F.replace(s, F.lit(a), F.lit(b))
     spellings = [s, *(swap("-", h) for h in HYPHENS), swap(" ", ""), swap(NO_BREAK, " "), swap(NO_BREAK, ""), swap("|", BROKEN_BAR), swap("|", " "), swap("|", "")]
     keyed = F.transform(F.array_distinct(F.array(*spellings)), lambda x, i: F.struct((-F.char_length(x)).alias("k"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+    return F.when(plain, F.array(text)).otherwise(F.transform(F.array_sort(keyed), lambda k: k["x"]))
 
 
 def covered(text: Column, literals: Column) -> Column:
@@ -154,6 +162,8 @@ def covered(text: Column, literals: Column) -> Column:
 
 def fold(text: str) -> str:
     """Lower case, character by character, so that places stay."""
+    if text.isascii():
+        return text.lower()
     return "".join(k if len(k := c.lower()) == 1 else c for c in text)
 
 

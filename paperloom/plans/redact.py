@@ -46,7 +46,8 @@ def _text_hits(patterns: list[Pattern], fits: list[Column], require_context: boo
     per = []
     for k, (p, may) in enumerate(zip(patterns, fits, strict=True)):
         found = find_all(F.col("text"), java(p.regex, p.case_sensitive)) if p.native else find_all_custom(p.regex, p.case_sensitive)(F.col("text"))
-        found = F.filter(found, lambda m: F.trim(F.regexp_replace(m["text"], r"(?U)\s+", " ")) != "")
+        if not p.native:  # a preset's match is never blank
+            found = F.filter(found, lambda m: F.trim(F.regexp_replace(m["text"], r"(?U)\s+", " ")) != "")
         if p.context and require_context:
             found = F.filter(found, lambda m: near(F.col("text"), m["start"], m["end"], java(p.context)))
         rows = F.transform(found, lambda m: F.struct(F.lit(k).alias("pattern_no"), F.lit(p.regex).alias("pattern"), m["start"].alias("start"), m["text"].alias("matched")))
@@ -54,6 +55,11 @@ def _text_hits(patterns: list[Pattern], fits: list[Column], require_context: boo
     return F.concat(*per)
 
 
+def _exploded(rows: DataFrame) -> DataFrame:
+    """Rows with a ``hit`` of an outer explode. Before an inner one the optimizer puts a filter that works the hits out once more."""
+    return rows.where(F.col("hit").isNotNull()).select(*PAGE, "hit.*")
+
+
 def hits(pages: DataFrame, patterns: list[Pattern], require_context: bool = True, keep_last: int = 0) -> DataFrame:
     """``pages`` (batch_id, path, page_no, text) to one row a match: pattern_no, pattern, start, matched, literal, partial.
 
@@ -63,7 +69,7 @@ def hits(pages: DataFrame, patterns: list[Pattern], require_context: bool = True
     ``literal`` is the part before that many digits, if any, and ``partial`` says so. Null text has no hits.
     """
     pages, fits = _guarded(pages.where(_readable()).select(*PAGE, "text"), patterns, require_context)
-    out = pages.withColumn("hit", F.explode(_text_hits(patterns, fits, require_context))).select(*PAGE, "hit.*")
+    out = _exploded(pages.withColumn("hit", F.explode_outer(_text_hits(patterns, fits, require_context))))
     head = without_last_digits(F.col("matched"), keep_last) if keep_last > 0 else F.lit("")
     return out.withColumn("partial", head != "").withColumn("literal", F.when(head != "", head).otherwise(F.col("matched")))
 
@@ -79,18 +85,33 @@ def findings(pages: DataFrame, words: DataFrame, patterns: list[Pattern], requir
     A row a hit: ``source`` (text, words), ``seq`` (its place among the page's hits), pattern_no (null for split numbers), pattern, start (in a text),
     word_idx and n_words (of the words), matched, literal, partial, share (of the box to cover), x0, y0, x1, y1 (in points, if words have boxes).
     """
+    met = pages.where(_readable()).select(*PAGE, "text").join(words_of_pages(words.where(_readable())).hint("merge"), PAGE, "full")
+    return hit_rows(with_hits(met, patterns, require_context, keep_last), keep_last)
+
+
+def words_of_pages(words: DataFrame) -> DataFrame:
+    """(batch_id, path, page_no, words): the words of each page in order, as ``with_hits`` takes them."""
     edges = ("xmin", "ymin", "xmax", "ymax", "page_width", "page_height")
     boxed = all(c in words.columns for c in edges)
     number = lambda c: F.col(c).cast("double") if boxed else F.lit(None).cast("double")
     x, y = (lambda c: number(c) * number("page_width")), (lambda c: number(c) * number("page_height"))
-    word = F.struct(F.col("word_idx").cast("int").alias("i"), F.coalesce("text", F.lit("")).alias("t"), x("xmin").alias("x0"), y("ymin").alias("y0"), x("xmax").alias("x1"), y("ymax").alias("y1"))
-    of_page = words.where(_readable()).groupBy(*PAGE).agg(F.sort_array(F.collect_list(word)).alias("_words"))
+    word = F.struct(F.col("word_idx").cast("int").alias("i"), F.col("text").alias("t"), x("xmin").alias("x0"), y("ymin").alias("y0"), x("xmax").alias("x1"), y("ymax").alias("y1"))
+    return words.groupBy(*PAGE).agg(F.sort_array(F.collect_list(word)).alias("words"))
+
+
+def with_hits(pages: DataFrame, patterns: list[Pattern], require_context: bool = True, keep_last: int = 0) -> DataFrame:
+    """``pages`` (batch_id, path, page_no, text, words) with ``hits``, an array for ``hit_rows``, null or empty without any; a row is worked on by itself."""
     own = F.when(P.ext(F.col("path")).isin(*P.PDF) & F.col("text").rlike(r"(?U)\S"), F.col("text"))
-    met = pages.where(_readable()).select(*PAGE, own.alias("text")).join(of_page.hint("merge"), PAGE, "full")
-    met = met.withColumn("_words", F.when(F.col("text").isNull(), F.col("_words"))).withColumn("_texts", F.transform("_words", lambda w: w["t"]))
+    met = pages.withColumn("_given", F.col("text")).withColumn("text", own)
+    met = met.withColumn("_words", F.when(F.col("text").isNull() & _readable(), F.col("words"))).withColumn("_texts", F.transform("_words", lambda w: F.coalesce(w["t"], F.lit(""))))
     met, fits = _guarded(met, patterns, require_context)
 
     size = F.size("_words")
+    # Places of the words that any preset matches as a whole; most words are none of them.
+    presets = [java(p.regex, p.case_sensitive) for p in patterns if p.native]
+    whole_word = lambda i, regexes: F.get("_texts", i).rlike(rf"\A(?:{'|'.join(f'(?:{r})' for r in regexes)})\z")
+    if presets:
+        met = met.withColumn("_likely", F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), lambda i: (F.get("_texts", i) != "") & whole_word(i, presets))))
     around = lambda i: F.array_join(F.filter(F.slice("_texts", F.greatest(i - 6, F.lit(0)) + 1, i + 7 - F.greatest(i - 6, F.lit(0))), lambda t: t != ""), " ")
     at = lambda i: F.get("_words", i)
     nothing = {"start": "int", "word_idx": "int", "n_words": "int", "x0": "double", "y0": "double", "x1": "double", "y1": "double"}
@@ -111,7 +132,7 @@ def findings(pages: DataFrame, words: DataFrame, patterns: list[Pattern], requir
     per = []
     for k, p in enumerate(patterns):
         if p.native:
-            whole = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get("_texts", i).rlike(rf"\A(?:{java(p.regex, p.case_sensitive)})\z") & (F.get("_texts", i) != ""))
+            whole = F.filter("_likely", lambda i: whole_word(i, [java(p.regex, p.case_sensitive)]))
         else:
             whole = whole_words_custom(p.regex, p.case_sensitive)(F.col("_texts"))
         if p.context and require_context:
@@ -119,7 +140,7 @@ def findings(pages: DataFrame, words: DataFrame, patterns: list[Pattern], requir
 
         per.append(F.transform(whole, word_hit(k, p)))
     full = lambda i, pattern: F.get("_texts", i).rlike(rf"(?U)\A{pattern}\z")
-    splits = F.filter(F.sequence(F.lit(0), size - 5), lambda i: full(i, r"\d{3}") & full(i + 2, r"\d{2}") & full(i + 4, r"\d{4}") & full(i + 1, r"\D*") & full(i + 3, r"\D*"))
+    splits = F.filter(F.sequence(F.lit(0), size - 5), lambda i: (F.char_length(F.get("_texts", i)) == 3) & full(i, r"\d{3}") & full(i + 2, r"\d{2}") & full(i + 4, r"\d{4}") & full(i + 1, r"\D*") & full(i + 3, r"\D*"))
     if require_context:
         splits = F.filter(splits, lambda i: around(i + 2).rlike(java(SSN_CONTEXT)))
 
@@ -131,7 +152,13 @@ def findings(pages: DataFrame, words: DataFrame, patterns: list[Pattern], requir
 
     of_words = F.concat(*[F.when(size > 0, x) for x in per], F.when(size >= 5, F.transform(splits, split)).otherwise(F.array()))
     of_text = F.transform(_text_hits(patterns, fits, require_context), lambda h: shape(source=F.lit("text"), a=h["pattern_no"], b=h["start"], share=F.lit(1.0), **{c: h[c] for c in ("pattern_no", "pattern", "matched", "start")}))
-    out = met.withColumn("hit", F.explode(F.when(F.col("text").isNotNull(), of_text).when(size > 0, of_words))).select(*PAGE, "hit.*")
+    out = met.withColumn("hits", F.when(F.col("text").isNotNull(), of_text).when(size > 0, of_words))
+    return out.select(*[c for c in pages.columns if c != "text"], F.col("_given").alias("text"), "hits")
+
+
+def hit_rows(pages: DataFrame, keep_last: int = 0) -> DataFrame:
+    """The hits of ``with_hits``, for the same ``keep_last``, a row each, as ``findings`` gives them."""
+    out = _exploded(pages.select(*PAGE, F.explode_outer("hits").alias("hit")))
     head = without_last_digits(F.col("matched"), keep_last) if keep_last > 0 else F.lit("")
     head = F.when(F.col("source") == "text", head).otherwise("")
     out = out.withColumn("seq", F.struct("a", "b")).withColumn("partial", (head != "") | (F.col("share") < 1)).withColumn("literal", F.when(head != "", head).otherwise(F.col("matched")))
@@ -179,9 +206,21 @@ def masked(pages: DataFrame, found: DataFrame) -> DataFrame:
     literals = found.where(F.length(F.regexp_replace("literal", r"(?U)\s+", "")) <= LONGEST_LITERAL)
     per = literals.groupBy(*PAGE).agg(F.collect_set("literal").alias("_literals"))
     met = pages.join(per.hint("merge"), PAGE, "left")
-    none = met.where("_literals is null").withColumn("redacted", F.col("text"))
-    some = met.where("_literals is not null").withColumn("redacted", covered(F.col("text"), F.transform("_literals", search_variants)))
-    return none.unionByName(some).drop("_literals")
+    return met.withColumn("redacted", covered_page(F.col("_literals"))).drop("_literals")
+
+
+def literals_of(hits: Column, keep_last: int = 0) -> Column:
+    """The literals to cover of an array of hits by text; null without any."""
+    head = lambda h: without_last_digits(h["matched"], keep_last) if keep_last > 0 else F.lit("")
+    own = F.transform(F.filter(hits, lambda h: h["source"] == "text"), lambda h: F.when(head(h) != "", head(h)).otherwise(h["matched"]))
+    few = F.array_distinct(F.filter(own, lambda x: F.length(F.regexp_replace(x, r"(?U)\s+", "")) <= LONGEST_LITERAL))
+    return F.when(F.size(few) > 0, few)
+
+
+def covered_page(literals: Column) -> Column:
+    """``text`` with the literals of an array covered; a page without any does not go to Python."""
+    some = F.when(literals.isNotNull(), F.col("text"))
+    return F.coalesce(covered(some, F.transform(literals, search_variants)), F.col("text"))
 
 
 def split_numbers(words: DataFrame, require_context: bool = True) -> DataFrame:

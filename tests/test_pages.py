@@ -129,3 +129,14 @@ def test_greatest_before(spark):
     rows = [("g", i, v) for i, v in enumerate([5, 1, None, 9, 2, 9, 3])] + [("h", 0, 1)]
     df = spark.createDataFrame(rows, "k string, i int, v int").repartition(3)
     assert [r.before for r in greatest_before(df, "v", ["i"], ["k"]).orderBy("k", "i").collect()] == [None, 5, 5, 5, 9, 9, 9, None]
+
+
+def test_hits_are_worked_out_once(spark):
+    """No filter in front of the explode repeats the patterns' work."""
+    pages = spark.createDataFrame([("b", "a.pdf", 1, "tel. 555-123-4567")], "batch_id string, path string, page_no int, text string")
+    words = spark.createDataFrame([("b", "w.pdf", 1, 0, "555-123-4567")], "batch_id string, path string, page_no int, word_idx int, text string")
+    patterns = load_patterns(["Phone,Email"])
+    for rows in (redact.hits(pages, patterns), redact.findings(pages, words, patterns)):
+        lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [x for x in lines if "Filter" in x and "regexp_extract_all" in x]
+        assert {r.matched for r in rows.collect()} == {"555-123-4567"}
