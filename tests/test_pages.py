@@ -140,3 +140,13 @@ def test_hits_are_worked_out_once(spark):
         lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
         assert not [x for x in lines if "Filter" in x and "regexp_extract_all" in x]
         assert {r.matched for r in rows.collect()} == {"555-123-4567"}
+
+
+def test_detection_reads_blocks_once(spark):
+    """Labels with a prefix, and numbers by themselves where there is none, come from one pass over the blocks."""
+    rows = [("b", "a.pdf", 1, 0, "Abc 000001 Abc 000002 Klm 000009"), ("b", "a.pdf", 3, 0, "Abc 000007"), ("b", "a.pdf", 2, 0, "Klm 000003 Klm 000004 Klm 000005"), ("b", "p.pdf", 1, 0, "Page 000012"), ("b", "x.pdf", 1, 0, "none")]
+    blocks = spark.createDataFrame(rows, "batch_id string, path string, page_no int, block_no int, text string").selectExpr("*", "0 as block_type", "780.0D as y0", "792.0D as page_height")
+    files = spark.createDataFrame([("b", "a.pdf", 3), ("b", "p.pdf", 1), ("b", "x.pdf", 1), ("b", "x.pdf", 1)], "batch_id string, path string, page_count int")
+    out = labels.detect(blocks, files)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+    assert sorted(tuple(r)[1:] for r in out.collect()) == [("a.pdf", "ABC 000001", "ABC 000007"), ("p.pdf", "000012", "000012"), ("x.pdf", "", ""), ("x.pdf", "", "")]
