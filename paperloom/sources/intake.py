@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import paths as P
-from paperloom.operators.storage import written
+from paperloom.operators.storage import shared_dir, written
 
 RECORDS = "array<struct<path:string,rel_dir:string,filename:string,first_label:string,last_label:string,pages:int,category:string>>"
 METADATA = "array<struct<name:string,path:string,fullPath:string,batesRange:string>>"
@@ -98,8 +98,8 @@ def _packed(archives: DataFrame) -> DataFrame:
     return archives.select("batch_id", "within", "place", "path", "content").mapInPandas(cut, PACKED)
 
 
-def _unpacked(packed: DataFrame) -> DataFrame:
-    """``content`` and ``error`` of members that ``_packed`` cut; a member that does not fit its checksum is an error."""
+def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of members with ``content`` and ``error`` in place of what is stored, each cut so that it holds ``BATCH_BYTES`` of contents, or one member: few stored bytes may be many."""
     import zlib
 
     def unpack(method: float, crc: float, raw, error):
@@ -113,13 +113,20 @@ def _unpacked(packed: DataFrame) -> DataFrame:
             return None, "Damaged archive member"
         return (content, None) if zlib.crc32(content) == int(crc) else (None, "Damaged archive member")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [unpack(*x) for x in zip(pdf["method"], pdf["crc"], pdf["raw"], pdf["error"], strict=True)]
-            pdf = pdf.drop(columns=["method", "crc", "raw", "error"])
-            yield pdf.assign(content=[c for c, _ in found], error=[e for _, e in found])
+    for pdf in batches:
+        kept = pdf.drop(columns=["method", "crc", "raw", "error"])
+        start, size, found = 0, 0, []
+        for i, stored in enumerate(zip(pdf["method"], pdf["crc"], pdf["raw"], pdf["error"], strict=True)):
+            found.append(unpack(*stored))
+            size += len(found[-1][0] or b"")
+            if size >= BATCH_BYTES or i == len(pdf) - 1:
+                yield kept.iloc[start : i + 1].assign(content=[c for c, _ in found], error=[e for _, e in found])
+                start, size, found = i + 1, 0, []
 
-    return packed.mapInPandas(run, "batch_id string, within string, place array<long>, path string, size_bytes long, content binary, error string")
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """``content`` and ``error`` of members that ``_packed`` cut; a member that does not fit its checksum is an error."""
+    return packed.mapInPandas(unpacked, "batch_id string, within string, place array<long>, path string, size_bytes long, content binary, error string")
 
 
 def expand_all(archives: DataFrame, allowed: tuple[str, ...] | None = None, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
@@ -131,6 +138,7 @@ def expand_all(archives: DataFrame, allowed: tuple[str, ...] | None = None, deep
     row holds at most 2 GB. Null content is an archive that is none. No archives give empty tables.
     """
     spark = archives.sparkSession
+    shared_dir(spark)  # sets the size of batches for Python, from the first job on
     batch = F.col("batch_id") if "batch_id" in archives.columns else F.col("archive")
     level = archives.select(batch.alias("batch_id"), F.lit(None).cast("string").alias("within"), F.array().cast("array<long>").alias("place"), F.col("archive").alias("path"), F.octet_length("content").cast("long").alias("size_bytes"), F.coalesce("content", F.lit("").cast("binary")).alias("content"), F.lit(None).cast("string").alias("error"))
     zipped = F.lower("path").endswith(".zip") & F.col("error").isNull()

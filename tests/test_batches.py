@@ -112,3 +112,19 @@ def test_a_pass_moves_no_rows(spark):
     pages = spark.createDataFrame([("b", "a.pdf", 1, "x@y.org", None)], PAGE + ", words array<struct<i:int,t:string,x0:double,y0:double,x1:double,y1:double>>")
     met = redact.with_hits(pages, load_patterns(["Email"]))
     assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString() and [r.matched for r in redact.hit_rows(met).collect()] == ["x@y.org"]
+
+
+def test_unpacked_batches_are_small():
+    """Members that unpack to much more than is stored go on in batches of their own."""
+    import zlib
+
+    import pandas as pd
+
+    content = bytes(1 << 21)
+    packer = zlib.compressobj(wbits=-15)
+    raw = packer.compress(content) + packer.flush()
+    n = 9
+    rows = pd.DataFrame({"path": [f"{i}.txt" for i in range(n)], "method": [8] * n, "crc": [zlib.crc32(content)] * n, "raw": [raw] * (n - 1) + [b"bad"], "error": [None] * n})
+    out = list(intake.unpacked(iter([rows])))
+    assert [len(x) for x in out] == [2, 2, 2, 2, 1] and [p for x in out for p in x["path"]] == list(rows["path"])
+    assert max(sum(len(c or b"") for c in x["content"]) for x in out) <= intake.BATCH_BYTES and out[-1]["error"].tolist() == ["Damaged archive member"]
