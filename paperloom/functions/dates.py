@@ -33,9 +33,10 @@ def date_produced(rel_dir: Column, filename: Column, default) -> Column:
     """Date of the second folder, else of any folder from the top, else of the name, else ``default``."""
     parts = F.filter(F.split(rel_dir, "/"), lambda p: p != "")
     second = F.get(parts, F.lit(1))
-    tokens = F.filter(F.concat(F.array(second), parts, F.array(filename)), lambda t: t.isNotNull())
-    dates = F.filter(F.transform(tokens, parse_date), lambda d: d.isNotNull())
-    return F.coalesce(F.get(dates, F.lit(0)), F.lit(default).cast("date"))
+    # Only what can hold a year is parsed, and nothing behind the first date.
+    tokens = F.filter(F.array_distinct(F.concat(F.array(second), parts, F.array(filename))), lambda t: F.contains(t, F.lit("19")) | F.contains(t, F.lit("20")))
+    found = F.aggregate(tokens, F.lit(None).cast("date"), lambda date, t: F.coalesce(date, parse_date(t)))
+    return F.coalesce(found, F.lit(default).cast("date"))
 
 
 def pdf_date_year(text: Column) -> Column:

@@ -31,10 +31,9 @@ def finished(files: DataFrame, records: DataFrame, events: DataFrame, failures:
     that share a path each stay.
     """
     good = report.without_failed(files, failures)
-    rows = index.index_rows(good, records_by_path(records), meta, detected, default_date)
+    rows = index.index_rows(good, records_by_path(records), meta, detected, default_date, also=("source_path",))
     stages = report.file_results(events).select(F.col("run_id").alias("batch_id"), F.col("filename").alias("source_path"), "stages_ok", "stages_failed")
-    of = good.select("batch_id", "ord", "path", "source_path").join(stages.hint("merge"), ["batch_id", "source_path"], "left")
-    return written(rows.join(of.hint("merge"), ["batch_id", "ord", "path"]), "finished")
+    return written(rows.join(stages.hint("merge"), ["batch_id", "source_path"], "left"), "finished")
 
 
 def totals(rows: DataFrame, failures: DataFrame, events: DataFrame) -> DataFrame:

@@ -41,31 +41,52 @@ def metadata_table(meta: DataFrame) -> DataFrame:
     return lookup_table(rows, [(P.norm_key(F.col("path")), True), (P.norm_key(F.col("name")), False)], LABELS, "ord", ["batch_id"])
 
 
-def index_rows(files: DataFrame, records: DataFrame | None = None, meta: DataFrame | None = None, detected: DataFrame | None = None, default_date: dt.date = dt.date(2000, 1, 1)) -> DataFrame:
-    """A row a file (batch_id, ord, path): labels, range, date produced.
+def index_rows(
+    files: DataFrame, records: DataFrame | None = None, meta: DataFrame | None = None, detected: DataFrame | None = None, default_date: dt.date = dt.date(2000, 1, 1), also: tuple[str, ...] = ()
+) -> DataFrame:
+    """A row a file (batch_id, ord, path, and the columns ``also``): labels, range, date produced.
 
     A batch takes its labels from its sidecar if there is one, else from the client's metadata, else from detection;
     the choice is the batch's, not the row's. Junk and the engine's own files are left out.
     """
-    rows = files.where(~P.is_junk(F.col("path")) & ~P.is_sidecar(F.col("path"))).select("batch_id", "ord", "path")
+    rows = files.where(~P.is_junk(F.col("path")) & ~P.is_sidecar(F.col("path"))).select("batch_id", "ord", "path", *also)
     rows = rows.withColumn("rel_dir", P.rel_dir(F.col("path"))).withColumn("filename", P.filename(F.col("path"))).withColumn("category", P.category(F.col("path")))
-    probe = [P.norm_key(F.col("path")), P.norm_key(F.col("filename"))]
+    none = F.lit("")
+    out = rows.withColumns({"first_label": none, "last_label": none})
     sources = [(n, t) for n, t in ((1, records), (2, meta), (3, detected)) if t is not None]
-    out = rows
+    if sources:
+        out = _labeled(rows, sources).select(*rows.columns, *[F.coalesce(c, none).alias(c) for c in LABELS])
+    out = out.withColumn("bates_range", L.bates_range(F.col("first_label"), F.col("last_label")))
+    return out.withColumn("date_produced", D.date_produced(F.col("rel_dir"), F.col("filename"), default_date))
+
+
+def _labeled(rows: DataFrame, sources: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``rows`` with the labels of their batch's source, the least number that has the batch: 1 records, 2 metadata, 3 detection. A row meets that source only."""
+    each = None
+    for n, table in sources:
+        part = table.select("batch_id").distinct().withColumn("_source", F.lit(n))
+        each = part if each is None else each.unionByName(part)
+    # One row a batch: sent to all tasks while batches are few, so that a large batch is not one task's.
+    source = written(each.groupBy("batch_id").agg(F.min("_source").alias("_source")), "batches")
+    rows = written(joined_small(rows, source, ["batch_id"], "left"), "sourced")  # read for each source
+
+    def own(n: int, table: DataFrame) -> DataFrame:
+        return joined_small(table, source.where(F.col("_source") == n), ["batch_id"], "left_semi") if len(sources) > 1 else table
+
+    none = F.lit(None).cast("string")
+    out = rows.where("_source is null").withColumns({c: none for c in LABELS})
+    keyed = None
     for n, table in sources:
-        # One row a batch: sent to all tasks while batches are few, so that a large batch is not one task's.
-        there = written(table.select("batch_id").distinct().withColumn(f"_has{n}", F.lit(True)), "batches")
-        out = joined_small(out, there, ["batch_id"], "left")
         if n == 3:
-            side = table.select("batch_id", "path", F.col("first_label").alias("f3"), F.col("last_label").alias("l3"))
-            out = out.join(side.hint("merge"), ["batch_id", "path"], "left")
+            side = own(n, table).select("batch_id", "path", *LABELS)
+            out = out.unionByName(rows.where("_source = 3").join(side.hint("merge"), ["batch_id", "path"], "left"))
         else:
-            keyed = (sidecar_table(table) if n == 1 else metadata_table(table)).withColumnsRenamed({"first_label": f"f{n}", "last_label": f"l{n}"})
-            out = lookup(out, keyed, probe, [f"f{n}", f"l{n}"], ["batch_id"]).drop("found")
-    pick = lambda c: F.coalesce(*[F.when(F.col(f"_has{n}"), F.coalesce(F.col(f"{c}{n}"), F.lit(""))) for n, _ in sources], F.lit(""))
-    out = out.select(*rows.columns, pick("f").alias("first_label"), pick("l").alias("last_label"))
-    out = out.withColumn("bates_range", L.bates_range(F.col("first_label"), F.col("last_label")))
-    return out.withColumn("date_produced", D.date_produced(F.col("rel_dir"), F.col("filename"), default_date))
+            part = sidecar_table(own(n, table)) if n == 1 else metadata_table(own(n, table))
+            keyed = part if keyed is None else keyed.unionByName(part)
+    if keyed is not None:  # each batch is in one of both
+        probe = [P.norm_key(F.col("path")), P.norm_key(F.col("filename"))]
+        out = out.unionByName(lookup(rows.where("_source < 3"), written(keyed, "keys"), probe, LABELS, ["batch_id"]).drop("found"))
+    return out
 
 
 def sheet(rows: DataFrame) -> DataFrame:

@@ -107,6 +107,15 @@ def test_finished(spark):
     assert ("c", finalize.INDEX_NAME) in names and ("b", finalize.AUDIT_NAME) not in names and len(names) == 7
 
 
+def test_finished_keeps_each_file_once(spark):
+    """Files alike but for where they came from stay as many as they are; a batch's rows meet one source."""
+    files = spark.createDataFrame([("b", 0, "k.pdf", "in1"), ("b", 0, "k.pdf", "in2"), ("b", None, "z.pdf", "in3")], "batch_id string, ord int, path string, source_path string")
+    records = spark.createDataFrame([("b", 0, "", "k.pdf", "P 1", "P 2")], "batch_id string, ord int, rel_dir string, filename string, first_label string, last_label string")
+    events = spark.createDataFrame([("b", 1, "redact", "ok", "in2", None)], "run_id string, seq long, stage string, event string, filename string, reason string").withColumn("ts", F.timestamp_seconds("seq"))
+    rows = finalize.finished(files, records, events, files.select("batch_id", "path").limit(0), meta=records.limit(0).select("batch_id", "ord", F.col("filename").alias("name"), F.col("filename").alias("path"), F.col("first_label").alias("bates_range")))
+    assert sorted((r.source_path, r.bates_range, r.stages_ok) for r in rows.collect()) == [("in1", "P 1 - P 2", None), ("in2", "P 1 - P 2", ["redact"]), ("in3", "", None)]
+
+
 def test_a_pass_moves_no_rows(spark):
     """What a pass finds on pages that have met their words needs no shuffle."""
     pages = spark.createDataFrame([("b", "a.pdf", 1, "x@y.org", None)], PAGE + ", words array<struct<i:int,t:string,x0:double,y0:double,x1:double,y1:double>>")
