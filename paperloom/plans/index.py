@@ -122,5 +122,7 @@ def range_ranks(rows: DataFrame, by: list[str], descending: bool = False) -> Dat
     """``rows`` with ``rank``, from 1, their place in the order of ``by_range`` within each group of ``by``; groups may be few and large."""
     n = L.order_number(F.col("bates_range"))
     key = F.coalesce(-n if descending else n, F.lit(-(1 << 62) if descending else 1 << 62))
-    out = running_before(rows.withColumn("_key", key).withColumn("_one", F.lit(1)), "_one", ["_key", "ord"], by)
+    # Ranges are drawn from a sample, for which the rows would be made twice.
+    rows = written(rows.withColumn("_key", key), "keyed")
+    out = running_before(rows.withColumn("_one", F.lit(1)), "_one", ["_key", "ord"], by)
     return out.withColumn("rank", F.col("before") + 1).drop("_key", "_one", "before")

@@ -112,6 +112,23 @@ def test_index_sources(spark):
     assert [(r.row_no, r.row_type, r.text) for r in lines] == [(3, "header", "Category & Documents provided"), (4, "category", "p"), (5, "document", "a.pdf"), (6, "blank", ""), (7, "category", "q"), (8, "document", "a.pdf"), (9, "blank", "")]
 
 
+def test_ranks_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def label(i):
+        made.add(1)
+        return f"A {i // 2:07d}" if i % 3 else ""
+
+    rows = spark.range(60).select(F.lit("b").alias("batch_id"), F.lit("c").alias("category"), F.col("id").alias("ord"), label("id").alias("bates_range"))
+    ranks = index.range_ranks(index.range_ranks(rows, ["batch_id", "category"]).withColumnRenamed("rank", "up"), ["batch_id", "category"], descending=True)
+    got = {r.ord: (r.up, r["rank"]) for r in ranks.collect()}
+    assert made.value == 60
+    no = lambda i: i // 2 if i % 3 else 1 << 40
+    up, down = sorted(range(60), key=lambda i: (no(i), i)), sorted(range(60), key=lambda i: (-no(i), i))
+    assert got == {i: (up.index(i) + 1, down.index(i) + 1) for i in range(60)}
+
+
 def test_scan_samples(spark):
     files = spark.createDataFrame([("b", "f", 25), ("b", "g", 2), ("b", "h", None)], "batch_id string, path string, page_count int")
     rows = scan.sample_pages(files).collect()
