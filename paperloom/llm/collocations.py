@@ -28,8 +28,6 @@ MIN_COUNT = 30
 SHARE = 80
 TOP = 2000
 SHARD_WORDS = 1_000_000
-#: Frequent pairs that are sent to all tasks; more are joined by a shuffle.
-PAIRS = 1_000_000
 #: What parts passages; the mark for it is one of these characters, so no word.
 STOPS, STOP = r"[.,;:!?\x0A-\x0D]+", "."
 NO_LANG = "und"
@@ -122,15 +120,8 @@ def _text(tokens: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], text, [0]]), np.concatenate([[0], real])
 
 
-def _cell(first, second):
-    """A number for 16 first words by 4096 second ones, so that a cell has 65536 pairs at most, however large the corpus."""
-    if isinstance(first, Column):
-        return F.shiftleft(F.shiftright(first, 4), 20).bitwiseOR(F.shiftright(second, 12))
-    return first >> 4 << 20 | second >> 12
-
-
 def pairs(coded: DataFrame) -> DataFrame:
-    """``shard, cell, pairs, n``: each shard's pairs of words in a row and their counts, by cells; a pair is both ids in one long."""
+    """``shard, pair, n``: each shard's pairs of words in a row and their counts; a pair is both ids in one long."""
 
     def extend(batches):
         for batch in batches:
@@ -138,19 +129,20 @@ def pairs(coded: DataFrame) -> DataFrame:
                 text, real = _text(tokens.as_buffer(), ids.values.to_numpy())
                 index = Index(text)
                 first, second, found = index.right(index.single())
-                first, second = real[first + 1], real[second]
-                cell = _cell(first, second)
-                order = np.argsort(cell, kind="stable")
-                cell, keys, n = cell[order], (first << 32 | second)[order], found.count[order]
-                heads = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0]))[: len(cell)]
-                edges = np.append(heads, len(cell)).astype(np.int32)
-                for a in range(0, len(heads), 10_000):
-                    cut = pa.array(edges[a : a + 10_001])
-                    lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (keys, n)]
-                    own = pa.array(cell[heads[a : a + 10_000]])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard)), own, *lists], names=["shard", "cell", "pairs", "n"])
+                keys, n = real[first + 1] << 32 | real[second], found.count
+                for k in range(0, len(n), 100_000):
+                    part = keys[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard)), pa.array(part), pa.array(n[k : k + 100_000])], names=["shard", "pair", "n"])
+
+    return coded.mapInArrow(rested(extend), "shard long, pair long, n long")
 
-    return coded.mapInArrow(rested(extend), "shard long, cell long, pairs array<long>, n array<long>")
+
+def frequent(local: DataFrame, least: int) -> DataFrame:
+    """``shard, pair, f``: the pairs that all shards together have ``least`` times, in each shard that has them, with that count.
+
+    A sum over a pair's own rows, one a shard, so that no pair has to meet the shards again.
+    """
+    return local.withColumn("f", F.sum("n").over(Window.partitionBy("pair"))).where(F.col("f") >= least).select("shard", "pair", "f")
 
 
 def longer(coded: DataFrame) -> DataFrame:
@@ -194,19 +186,14 @@ def phrases(docs: DataFrame, least: int = MIN_COUNT, size: int = SHARD_WORDS) ->
     parts = written(shards(docs, size), "shards")
     totals, words = vocabulary(parts, least)
     coded = written(numbered(parts, words), "coded")
-    local = written(pairs(coded), "pairs")
-    each = local.select(F.explode(F.arrays_zip("pairs", "n")).alias("p")).select(F.col("p.pairs").alias("pair"), F.col("p.n").alias("n"))
-    often = written(each.groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent-pairs")
-    # Lists of frequent pairs by cells are sent to all tasks while there are a million pairs at most, 8 bytes each.
-    few = often.limit(PAIRS + 1).count() <= PAIRS
-    cells = often.groupBy(_cell(F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit(_TAIL))).alias("cell")).agg(F.collect_list("pair").alias("often"))
-    met = local.select("shard", "cell", "pairs").join(F.broadcast(cells) if few else cells.hint("merge"), "cell")
-    allowed = met.select("shard", F.array_intersect("pairs", "often").alias("p")).where(F.size("p") > 0).groupBy("shard").agg(F.flatten(F.collect_list("p")).alias("pairs"))
+    met = written(frequent(pairs(coded), least), "frequent-pairs")
+    often = met.select("pair", "f").distinct()
+    allowed = met.groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
     more = longer(coded.join(allowed.hint("shuffle_hash"), "shard")).groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     one = words.select((F.col("id") * (1 << 32)).alias("a"), F.lit(0).cast("long").alias("b"), "f")
     two = often.select(F.col("pair").alias("a"), F.lit(0).cast("long").alias("b"), "f")
     out = written(one.unionByName(two).unionByName(more), "phrases")
-    discard(parts, coded, local, often)
+    discard(parts, coded, met)
     return totals, words, out
 
 

@@ -73,6 +73,15 @@ def test_extensions_and_shards(spark):
     assert sum(sizes) == 9002 and max(sizes) == 3001 and sum(s <= 502 for s in sizes) >= 11  # a passage is never cut
 
 
+def test_frequent_pairs_meet_no_shards_again(spark):
+    """Pairs are summed over shards and kept in each of them, without a join or lists of them."""
+    local = spark.createDataFrame([(1, 7, 2), (2, 7, 3), (1, 8, 4), (3, 9, 5)], "shard long, pair long, n long")
+    got = C.frequent(local, 5)
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 5), (2, 7, 5), (3, 9, 5)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
 def test_odd(spark, odd, none):
     assert C.collocations(none).count() == 0
     got = sorted(tuple(x) for x in C.collocations(odd, 2).drop("left", "right").collect())
