@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.matching import find_all
+from paperloom.functions.matching import find_all, let
 
 _YEAR = r"(?:20\d{2}|19\d{2})"
 # Month names as the year patterns know them, and these patterns: years by themselves, after day and month,
@@ -56,6 +56,21 @@ def _years(text: Column, k: int, low: int, high: int) -> Column:
     return F.filter(found, lambda c: c["year"].between(low, high))
 
 
+def _first_year(text: Column, k: int, low: int, high: int) -> Column:
+    """The first of ``_years``. Only if the first match is out of bounds are all of them looked for.
+
+    The text up to the match's end is taken at once: ``split`` would compile the pattern for each row.
+    """
+    ahead = f"(?s)^(.*?){YEAR_PATTERNS[k - 1]}"
+
+    def picked(upto):
+        year = F.right(upto, F.lit(4)).try_cast("int")
+        one = F.struct(F.lit(k).alias("pattern"), F.char_length(F.regexp_extract(text, ahead, 1)).alias("start"), F.char_length(upto).alias("end"), year.alias("year"))
+        return F.when(upto == "", None).when(year.between(low, high), one).otherwise(F.get(_years(text, k, low, high), F.lit(0)))
+
+    return let(F.regexp_extract(text, ahead, 0), picked)
+
+
 def year_candidates(text: Column, low: int, high: int) -> Column:
     """Array of (pattern, start, end, year) within the bounds, by pattern, then place."""
     return F.concat(*[_years(text, k, low, high) for k in range(1, len(YEAR_PATTERNS) + 1)])
@@ -65,8 +80,8 @@ def year_of(text: Column, low: int, high: int, policy: str, by_place: bool = Fal
     """What ``pick_year`` picks of ``year_candidates``; patterns are tried only while one may still decide, and only where a text can have a year."""
     if by_place or policy in ("last", "max"):
         found = pick_year(year_candidates(text, low, high), policy, by_place)
-    else:
-        found = F.coalesce(*[F.get(_years(text, k, low, high), F.lit(0)) for k in range(1, len(YEAR_PATTERNS) + 1)])
+    else:  # the second pattern's years are the first one's as well
+        found = F.coalesce(_first_year(text, 1, low, high), _first_year(text, 3, low, high))
     return F.when(F.contains(text, F.lit("19")) | F.contains(text, F.lit("20")), found)
 
 

@@ -63,14 +63,19 @@ def free_names(files: DataFrame) -> DataFrame:
     the stem can meet; they are a family. In a family without such numbers a name's number is the count of its rows
     before. In the other families a number may be taken, and their files are placed level by level.
     """
-    rows = _parts(files).withColumn("_family", F.concat(F.regexp_replace("_stem", r"(__\d+)+$", ""), F.lit("/"), "_suffix"))
-    keys = [*KEYS, "_family"]
-    with_number = rows.groupBy(*keys).agg(F.bool_or(F.col("_stem").rlike(r"__\d+$")).alias("_odd"), F.count(F.lit(1)).alias("_n")).where("_odd and _n > 1")
-    odd = written(with_number.select(*keys, "_odd"), "odd-families")
-    some = odd.limit(1).count() > 0
-    marked = joined_small(rows, odd, keys, "left") if some else rows.withColumn("_odd", F.lit(None).cast("boolean"))
-    n = F.row_number().over(Window.partitionBy(*NAME).orderBy("ord")) - 1
-    plain = marked.where("_odd is null").withColumn("placed", F.when(n == 0, F.col("name")).otherwise(F.concat("_stem", F.lit("__"), n.cast("string"), "_suffix")))
+    # Families are counted only if a name has such a number at all.
+    some = files.where(F.col("name").rlike(r"__\d")).limit(1).count() > 0
+    if some:
+        rows = _parts(files).withColumn("_family", F.concat(F.regexp_replace("_stem", r"(__\d+)+$", ""), F.lit("/"), "_suffix"))
+        keys = [*KEYS, "_family"]
+        with_number = rows.groupBy(*keys).agg(F.bool_or(F.col("_stem").rlike(r"__\d+$")).alias("_odd"), F.count(F.lit(1)).alias("_n")).where("_odd and _n > 1")
+        odd = written(with_number.select(*keys, "_odd"), "odd-families")
+        some = odd.limit(1).count() > 0
+    marked = joined_small(rows, odd, keys, "left") if some else None
+    # A number before the names in the order of sorting: names of a folder begin alike, so comparing them is slow.
+    n = F.row_number().over(Window.partitionBy(F.xxhash64(*NAME), *NAME).orderBy("ord")) - 1
+    plain = (marked.where("_odd is null").select(*files.columns) if some else files).withColumn("_n", n)
+    plain = _parts(plain).withColumn("placed", F.when(F.col("_n") == 0, F.col("name")).otherwise(F.concat("_stem", F.lit("__"), F.col("_n").cast("string"), "_suffix")))
     plain = plain.select(*files.columns, "placed")
     if not some:
         return plain

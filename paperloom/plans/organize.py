@@ -23,14 +23,15 @@ def with_year(files: DataFrame, pages: DataFrame | None = None, low: int = 1900,
     """
     bare = F.when(F.col("path").rlike("19|20"), D.without_label(P.filename(F.col("path"))))
     rows = files.withColumn("_name", bare).withColumn("_hit", D.year_of(F.col("_name"), low, high, policy)).drop("_name").withColumn("_pdf", P.ext(F.col("path")) == ".pdf")
-    mod, made = D.pdf_date_year(F.col("mod_date")), D.pdf_date_year(F.col("creation_date"))
+    rows = rows.withColumns({"_mod": F.when(F.col("_pdf"), D.pdf_date_year(F.col("mod_date"))), "_made": F.when(F.col("_pdf"), D.pdf_date_year(F.col("creation_date")))})
+    mod, made = F.col("_mod"), F.col("_made")
     use_mod = F.coalesce(mod.between(low, high), F.lit(False))
     meta = F.when(F.col("_pdf"), F.when(use_mod, mod).when(made.between(low, high), made))
     source = F.when(use_mod, F.concat(F.lit("metadata-ModDate:"), F.col("mod_date"))).otherwise(F.concat(F.lit("metadata-CreationDate:"), F.col("creation_date")))
     place = lambda c: F.concat(F.lit("pattern"), c["pattern"].cast("string"), F.lit("@("), c["start"].cast("string"), F.lit(", "), c["end"].cast("string"), F.lit(")"))
     rows = rows.withColumn("_meta", meta).withColumn("year", F.coalesce(F.col("_hit.year"), F.col("_meta")))
     rows = rows.withColumn("method", F.when(F.col("_hit").isNotNull(), "filename").when(F.col("_meta").isNotNull(), "metadata"))
-    rows = rows.withColumn("reason", F.when(F.col("_hit").isNotNull(), place(F.col("_hit"))).when(F.col("_meta").isNotNull(), source)).drop("_hit", "_meta")
+    rows = rows.withColumn("reason", F.when(F.col("_hit").isNotNull(), place(F.col("_hit"))).when(F.col("_meta").isNotNull(), source)).drop("_hit", "_meta", "_mod", "_made")
     rows = rows.withColumn("method", F.when(F.col("method").isNull() & ~F.col("_pdf"), "none").otherwise(F.col("method")))
     rows = rows.withColumn("reason", F.when(F.col("method") == "none", "all-methods-failed:non-pdf-no-content-scan").otherwise(F.col("reason")))
     if pages is None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.patterns import load_patterns
 from paperloom.operators.collisions import free_names
+from paperloom.operators.storage import written
 from paperloom.plans import index, labels, organize, redact, report, scan
 from paperloom.sources import intake, results
 from paperloom.streaming.pages import scan_stream
@@ -129,6 +130,26 @@ def test_ranks_make_their_rows_once(spark):
     assert got == {i: (up.index(i) + 1, down.index(i) + 1) for i in range(60)}
 
 
+def test_years_of_names(spark):
+    """The quick way to the first year is the first of all candidates; names without numbers are read once."""
+    from paperloom.functions import dates as D
+
+    names = ["a 1899 b 1999.pdf", "12001 2001", "x\n20200103", "\U0001f600 Jan 3, 2020x", "3-4-2015", "19951995", "May 5 1850 2150", "\u0662\u0660 2030", "20\u0661\u0662 1912", "", None, "none"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    for low, high in ((1900, 2099), (2000, 2020), (1990, 1999)):
+        for a, b in rows.select(D.year_of(F.col("n"), low, high, "first"), D.pick_year(D.year_candidates(F.col("n"), low, high), "first")).collect():
+            assert a == b
+
+
+def test_names_without_numbers_are_not_counted(spark, monkeypatch):
+    from paperloom.operators import collisions
+
+    tables = []
+    monkeypatch.setattr(collisions, "written", lambda df, name: (tables.append(name), written(df, name))[1])
+    rows = spark.createDataFrame([("b", i, "x", "a.pdf") for i in range(3)], "batch_id string, ord int, folder string, name string")
+    assert sorted(r.placed for r in free_names(rows).collect()) == ["a.pdf", "a__1.pdf", "a__2.pdf"] and tables == []
+
+
 def test_scan_samples(spark):
     files = spark.createDataFrame([("b", "f", 25), ("b", "g", 2), ("b", "h", None)], "batch_id string, path string, page_count int")
     rows = scan.sample_pages(files).collect()
